@@ -6,20 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_extract, mixing, url_filter
+from . import decontam, html_extract, line_dedup, mixing, pii, quality, simhash, syncmer, toxicity, url_filter
 from ._io import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.train(docs, labels))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(table(spark, sf_dir, "documents"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.score(docs, quality.train(docs, labels))
+
+
+def op7_syncmer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmer.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -28,9 +50,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_url_filter, op5_html_extraction, op8_decontamination, op9_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_url_filter, op4_simhash, op5_html_extraction, op6_quality, op7_syncmer, op8_decontamination, op9_mixing, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": decontam.SQL, "op9_mixing": mixing.SQL}
+    return {"op2_line_dedup": line_dedup.SQL, "op8_decontamination": decontam.SQL, "op9_mixing": mixing.SQL}
