@@ -35,7 +35,7 @@ TOP, FLOOR, DECAY, SKIP = 6, 0.45, 0.5, 2
 POWER = 3
 THRESHOLD = 0.7
 #: A word this close to a landmark of at least this association (in bits) counts as toxic in a toxic document.
-CLOSE, CERTAIN = 0.7, 4.0
+CLOSE, CERTAIN = 0.7, 3.0
 #: Longer words are looked at in windows of this many letters.
 LONG = 24
 MAX_CACHED = 400_000
@@ -203,10 +203,11 @@ def _associated(sample: DataFrame) -> tuple[list[tuple[str, float]], list[str]]:
 
 
 def _fit_machine(x: np.ndarray, y: np.ndarray, penalty: float = 2e-4) -> tuple[np.ndarray, float]:
-    """A linear machine by the squared hinge loss, both kinds weighing alike, with accelerated gradient steps."""
+    """A linear machine by the squared hinge loss with accelerated gradient steps; clean words weigh more, as a
+    document has many."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     s = np.where(y == 1, 1.0, -1.0)
-    each = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    each = np.where(y == 1, 0.3 / max(1, (y == 1).sum()), 0.7 / max(1, (y == 0).sum()))
     w = v = np.zeros(x1.shape[1])
     step = 1 / (2 * np.linalg.norm((x1 * each[:, None]).T @ x1, 2) + penalty)
     for k in range(600):
@@ -247,16 +248,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     whiten = vectors[:, keep] / np.sqrt(values[keep])
     bags = [np.frombuffer(x, dtype=np.float32).astype(np.float64).reshape(-1, len(words)) for _, x in found]
     y = np.array([y for y, _ in found])
-    # landmarks with a letter put in between, as those who insult write them
-    inserted = [w[:i] + c + w[i:] for w, v in top if v >= CERTAIN for i, c in ((len(w) // 2, "x"), (len(w) // 3 + 1, "q"), (2 * len(w) // 3, "z"))]
-    spoilt = kernel.values(inserted).astype(np.float64)
-    spoilt = spoilt[spoilt.max(axis=1, initial=0) >= 0.2]
     # of a toxic document the words close to an associated landmark count from the start, and always its worst word
     close = [np.flatnonzero((b[:, : len(lift)] * (lift >= CERTAIN)).max(axis=1, initial=0) >= CLOSE) for b in bags]
     worst = [0] * len(bags)
     weights, bias = np.zeros(keep.sum()), 0.0
     for _ in range(3):
-        rows, signs = [np.zeros((1, len(words))), spoilt], [0] + [1] * len(spoilt)
+        rows, signs = [np.zeros((1, len(words)))], [0]
         for b, kind, some, at in zip(bags, y, close, worst, strict=True):
             if len(b):
                 part = b[np.union1d(some, [at])] if kind else b
