@@ -145,7 +145,7 @@ LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"
 def sanitize(docs: DataFrame) -> DataFrame:
     """doc_id and text, in which base spans are generalised to their kinds and disclosing terms to "[TERM]"."""
     spans = spans_by_row(docs)
-    labelled = F.concat(*(F.transform(F.col(k), lambda x, k=k: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(LABELS[k]).alias("label"))) for k in (*KINDS, "term")))
+    labelled = F.expr("concat({})".format(", ".join(f"transform({k}, x -> named_struct('s', x.s, 'e', x.e, 'label', '{v}'))" for k, v in LABELS.items())))
     spans = spans.select(F.col("doc_id").alias("sid"), F.col("h").alias("sh"), F.sort_array(labelled).alias("cuts")).dropDuplicates(["sid", "sh"])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("sid")) & (F.xxhash64("text") == F.col("sh")))

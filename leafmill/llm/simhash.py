@@ -127,7 +127,7 @@ def components(docs: DataFrame, ngram: int = 3) -> DataFrame:
 # Near duplicates by shingle resemblance, with covering tables for candidates.
 
 #: Fingerprints a text, bins of its signature, words in a shingle, the least resemblance, and what the estimate must reach.
-PRINTS, BINS, NGRAM, SIMILARITY, ESTIMATE = 6, 128, 5, 0.8, 0.74
+PRINTS, BINS, NGRAM, SIMILARITY, ESTIMATE = 8, 128, 5, 0.8, 0.7
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
