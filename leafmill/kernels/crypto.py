@@ -151,7 +151,7 @@ def object_key_column(key: Column, obj: Column, gen: Column, aes: bool, n: int)
 
 
 def crypt(method: str, key: bytes, obj: int, gen: int, data: bytes, iv: bytes | None = None) -> bytes:
-    """Decrypts (without ``iv``) or encrypts a string or stream by V2, AESV2 or AESV3."""
+    """Decrypts (without ``iv``) or encrypts a string or stream by V2 (either way alike), AESV2 or AESV3."""
     if method == "Identity":
         return data
     if method == "V2":

@@ -195,8 +195,11 @@ class Document:
     objects: dict[int, tuple[int, object]] = field(default_factory=dict)
     recovered: bool = False
 
+    key: bytes | None = None
+
     @classmethod
-    def open(cls, data: bytes) -> Document:
+    def open(cls, data: bytes, password: bytes = b"") -> Document:
+        """Encrypted documents open with the user's or owner's password, and raise ValueError for another."""
         doc = cls(data)
         try:
             doc._follow()
@@ -205,8 +208,30 @@ class Document:
         except (ValueError, IndexError, TypeError, KeyError):
             doc._rebuild()
         doc._load()
+        if doc.trailer.get("Encrypt") is not None:
+            doc._decrypt(password)
         return doc
 
+    def _decrypt(self, password: bytes) -> None:
+        from .crypto import authenticate
+
+        ref = self.trailer["Encrypt"]
+        d = self.get(ref)
+        if not isinstance(d, dict) or d.get("Filter") != "Standard":
+            raise ValueError("the security handler is unknown")
+        file_id = self.get(self.trailer.get("ID")) or [b""]
+        found = authenticate({k: bytes(v) if isinstance(v, bytes) else v for k, v in d.items()}, password, bytes(file_id[0]))
+        if not found:
+            raise ValueError("the password is wrong")
+        self.key = found[1]
+        filters = d.get("CF") or {}
+        method = lambda k: str((filters.get(d.get(k, "Identity")) or {}).get("CFM", "Identity")) if d.get("V", 1) >= 4 else "V2"
+        for i, (gen, v) in list(self.objects.items()):
+            e = self.xref.get((i, gen))
+            if (isinstance(ref, Ref) and i == ref.id) or (e and e.kind == "compressed"):
+                continue
+            self.objects[i] = (gen, crypt_value(v, method("StrF"), method("StmF"), self.key, i, gen))
+
     def _follow(self) -> None:
         at = self.data.rfind(b"startxref")
         m = re.compile(rb"startxref\s*(\d+)").match(self.data, at) if at >= 0 else None
@@ -381,6 +406,24 @@ class Document:
         return out
 
 
+def crypt_value(v, strings: str, streams: str, key: bytes, i: int, gen: int, iv: bytes | None = None):
+    """A value with its strings and streams decrypted, or encrypted if there is an ``iv``."""
+    from .crypto import crypt
+
+    again = lambda x: crypt_value(x, strings, streams, key, i, gen, iv)
+    if isinstance(v, bytes):
+        return Str(crypt(strings, key, i, gen, bytes(v), iv))
+    if isinstance(v, list):
+        return [again(x) for x in v]
+    if isinstance(v, dict):
+        return {k: again(x) for k, x in v.items()}
+    if isinstance(v, Stream):
+        if v.header.get("Type") == "XRef":
+            return v
+        return Stream({k: again(x) for k, x in v.header.items()}, crypt(streams, key, i, gen, v.body, iv))
+    return v
+
+
 def text_string(v) -> str:
     if not isinstance(v, bytes):
         return str(v) if isinstance(v, str) else ""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
-from .pdf import Document, Name, Ref, Str, Stream, references
+from .crypto import authenticate, encrypt_entries
+from .pdf import Document, Name, Ref, Str, Stream, crypt_value, references
 
 
 def _value(v) -> bytes:
@@ -137,6 +139,35 @@ def from_pages(pages: list[list[str]], size: float = 12.0, info: dict[str, str]
     return write(objects, trailer)
 
 
+def encrypt(data: bytes, user: bytes, owner: bytes, revision: int = 6, permissions: int = -44, seed: bytes = b"") -> bytes:
+    """The document under passwords: RC4 for revisions 2 and 3, AES for 4 to 6. Keys and vectors come from ``seed``,
+    which must be random where the result is to be secret."""
+    doc = Document.open(data)
+    salt, file_id = hashlib.sha256(b"salt" + seed).digest(), hashlib.md5(b"id" + seed + data).digest()
+    bits = {2: 40, 3: 128, 4: 128}.get(revision, 256)
+    entries = encrypt_entries(user, owner, revision, bits, permissions, file_id, salt, hashlib.sha256(b"key" + seed).digest())
+    key = authenticate(entries, user, file_id)[1]
+    method = {2: "V2", 3: "V2", 4: "AESV2"}.get(revision, "AESV3")
+    iv = hashlib.md5(b"iv" + seed).digest()
+    keep = reachable(doc)
+    objects = {i: crypt_value(doc.objects[i][1], method, method, key, i, 0, iv if revision >= 4 else b"") for i in keep}
+    head: dict = {"Filter": Name("Standard"), "V": {2: 1, 3: 2, 4: 4}.get(revision, 5), **{k: Str(v) if isinstance(v, bytes) else v for k, v in entries.items()}}
+    if revision >= 4:
+        head |= {"CF": {"StdCF": {"CFM": Name(method), "AuthEvent": Name("DocOpen"), "Length": bits // 8}}, "StmF": Name("StdCF"), "StrF": Name("StdCF")}
+    top = max(objects, default=0) + 1
+    objects[top] = head
+    trailer = {k: doc.trailer[k] for k in ("Root", "Info") if k in doc.trailer}
+    return write(objects, {**trailer, "Encrypt": Ref(top, 0), "ID": [Str(file_id), Str(file_id)]})
+
+
+def decrypt(data: bytes, password: bytes) -> bytes:
+    """The document without its passwords."""
+    doc = Document.open(data, password)
+    doc.trailer.pop("Encrypt", None)
+    keep = reachable(doc)
+    return write({i: doc.objects[i][1] for i in keep}, {k: doc.trailer[k] for k in ("Root", "Info", "ID") if k in doc.trailer})
+
+
 def _shifted(v, by: int):
     if isinstance(v, Ref):
         return Ref(v.id + by, 0)

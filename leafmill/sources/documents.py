@@ -189,8 +189,8 @@ TABLES: dict[str, tuple[str, Callable[[pdf.Document], Iterator[dict]]]] = {
 }
 
 
-def load(docs: DataFrame, name: str, mode: str = "PERMISSIVE") -> DataFrame:
-    """The table ``name`` of documents in (doc_id, content)."""
+def load(docs: DataFrame, name: str, mode: str = "PERMISSIVE", password: str = "") -> DataFrame:
+    """The table ``name`` of documents in (doc_id, content); encrypted ones open with ``password``."""
     columns, rows = TABLES[name]
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, {columns}"
@@ -203,7 +203,7 @@ def load(docs: DataFrame, name: str, mode: str = "PERMISSIVE") -> DataFrame:
         for batch in batches:
             for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    found = [{"doc_id": doc_id, **r} for r in rows(pdf.Document.open(content.as_py() or b""))]
+                    found = [{"doc_id": doc_id, **r} for r in rows(pdf.Document.open(content.as_py() or b"", password.encode()))]
                 except (ValueError, TypeError, KeyError, IndexError, RecursionError):
                     if mode == "FAILFAST":
                         raise

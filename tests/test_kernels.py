@@ -115,3 +115,14 @@ def test_images():
     assert black[5, 5] and black.sum() == 1
     px = np.frombuffer(images.fill_rects(4, 4, [(1, 1, 2.5, 3, (0, 0, 0))]), dtype=np.uint8).reshape(4, 4, 4)
     assert px[1, 1, 0] == 0 and px[1, 2, 0] == 128 and px[0, 0, 0] == 255
+
+
+@pytest.mark.parametrize("revision", [2, 3, 4, 5, 6])
+def test_encrypted_documents(revision):
+    locked = pdf_write.encrypt(sample(), b"user", b"owner", revision)
+    for password in (b"user", b"owner"):
+        doc = pdf.Document.open(locked, password)
+        assert [pdf.page_text(doc, p) for p in doc.pages()] == texts(sample())
+    with pytest.raises(ValueError):
+        pdf.Document.open(locked, b"wrong")
+    assert texts(pdf_write.decrypt(locked, b"owner")) == texts(sample())
