@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.kernels import images, pdf, render
+from leafmill.kernels import images, jpeg, pdf, render
 
-_FORMATS = {"png": lambda w, h, px: images.png_encode(w, h, px), "bmp": images.bmp_encode, "rgba": lambda w, h, px: px}
+_FORMATS = {"png": images.png_encode, "bmp": images.bmp_encode, "jpeg": jpeg.encode, "rgba": lambda w, h, px: px}
 
 
 def pages(docs: DataFrame, form: str = "png", dpi: float = 72.0, first: int = 1, last: int = 0, password: str = "") -> DataFrame:

@@ -37,3 +37,14 @@ def test_images_and_devices(spark):
     rows = devices.pages(docs).collect()
     assert len(rows) == 1 and images.png_decode(bytes(rows[0]["image"]))[:2] == (8, 8)
     assert len(images.tiff_decode(bytes(devices.tiff(docs.where("doc_id = 1")).first()["image"]))) == 1
+
+
+def test_jpeg():
+    from leafmill.kernels import jpeg
+
+    assert jpeg.ZIGZAG[:10].tolist() == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and sorted(jpeg.ZIGZAG.tolist()) == list(range(64))
+    y, x = np.mgrid[0:21, 0:30]
+    rgba = np.dstack([x * 8, y * 12, (x + y) * 4, np.full_like(x, 255)]).astype(np.uint8).tobytes()
+    w, h, got = jpeg.decode(jpeg.encode(30, 21, rgba, 90))
+    assert (w, h) == (30, 21) and images.psnr(rgba, got) > 35
+    assert len(jpeg.encode(30, 21, rgba, 20)) < len(jpeg.encode(30, 21, rgba, 95))
