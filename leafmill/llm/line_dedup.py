@@ -46,21 +46,37 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return out
 
 
-def removals(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
+#: Up to so many boilerplate lines, their hashes go into the plan and texts aren't shuffled; beyond, documents are
+#: joined with the hashes that they lose.
+MAX_IN_PLAN = 20_000
+
+
+def removals(lines: DataFrame, bad: DataFrame) -> DataFrame:
     """lost_id and the hashes of the lines that the document loses."""
-    lines = materialize(lines_of(docs, site), "lines")
-    bad = boilerplate(lines, min_sites).select(F.col("h").alias("bh"), "keep_id")
+    bad = bad.select(F.col("h").alias("bh"), "keep_id")
     hit = lines.join(bad, F.col("h") == F.col("bh")).where(~F.col("id").eqNullSafe(F.col("keep_id")))
     return materialize(hit.groupBy(F.col("id").alias("lost_id")).agg(F.collect_set("h").alias("lost")), "lost")
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", in_plan: int = MAX_IN_PLAN) -> DataFrame:
     """The documents with their columns; boilerplate lines are gone from the texts (``n_chars``, if there, follows)."""
-    lost = removals(docs, min_sites, site)
+    lines = materialize(lines_of(docs, site), "lines")
+    bad = boilerplate(lines, min_sites)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    joined = rows.join(lost, F.col("row.doc_id").eqNullSafe(F.col("lost_id")), "left")
-    kept = F.array_join(F.filter(F.split("row.text", "\n"), lambda x: ~F.array_contains(F.col("lost"), F.xxhash64(x)) | (F.trim(x) == "")), "\n")
-    text = F.when(F.col("lost").isNull(), F.col("row.text")).otherwise(kept)
+    found = bad.limit(in_plan + 1).collect() if in_plan else []
+    if in_plan and len(found) <= in_plan:
+        # few documents keep lines of these: at most one for each
+        kept = F.broadcast(bad.groupBy("keep_id").agg(F.collect_set("h").alias("kept")))
+        joined = rows.join(kept, F.col("row.doc_id").eqNullSafe(F.col("keep_id")), "left")
+        known = ", ".join(f"{r['h']}L" if r["h"] > -(2**63) else "-9223372036854775808L" for r in found) or "null"
+        mine = "coalesce(array_contains(kept, xxhash64(x)), false)"
+        text = F.expr(f"array_join(filter(split(row.text, '\n'), x -> trim(x) = '' or not coalesce(xxhash64(x) in ({known}), false) or {mine}), '\n')")
+        release(lines)
+    else:
+        lost = removals(lines, bad)
+        joined = rows.join(lost, F.col("row.doc_id").eqNullSafe(F.col("lost_id")), "left")
+        left = F.array_join(F.filter(F.split("row.text", "\n"), lambda x: ~F.array_contains(F.col("lost"), F.xxhash64(x)) | (F.trim(x) == "")), "\n")
+        text = F.when(F.col("lost").isNull(), F.col("row.text")).otherwise(left)
     out = joined.select("row", text.alias("new"))
     if "n_chars" not in docs.columns:
         return out.select(*[F.col("new").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

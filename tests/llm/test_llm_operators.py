@@ -116,6 +116,10 @@ def test_line_dedup_small(spark):
     texts = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
     assert texts[0] == "own 0\nshared\n" and texts[5] == "own 5\n"
     assert line_dedup.boilerplate(line_dedup.lines_of(docs), 13).count() == 0
+    # with the hashes in the plan or by a join, the texts are the same
+    real = table(spark, "documents")
+    both = [sorted(map(tuple, line_dedup.dedup_lines(real, 5, in_plan=n).select("doc_id", "text", "n_chars").collect())) for n in (0, 20_000)]
+    assert both[0] == both[1] and both[0] != sorted(map(tuple, real.select("doc_id", "text", "n_chars").collect()))
 
 
 def test_url_rules_and_model(spark):
