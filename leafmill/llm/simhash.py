@@ -225,7 +225,8 @@ def deduplicate(docs: DataFrame, ngram: int = NGRAM, estimate: float = ESTIMATE)
     """The documents, with their columns, of which one of each group stays: that with the smallest id. Of rows
     that repeat this id one stays."""
     groups = materialize(near_duplicates(docs, ngram, estimate), "near")
-    gone = groups.where("doc_id != group_id").select(F.col("doc_id").alias("gone_id"))
+    # the ids that go grow with the input, so they are never broadcast
+    gone = groups.where("doc_id != group_id").select(F.col("doc_id").alias("gone_id")).hint("merge")
     repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(gone, F.col("row.doc_id") == F.col("gone_id"), "left_anti").select("row.*")
     return kept.dropDuplicates(["doc_id"]) if repeated else kept
