@@ -51,12 +51,12 @@ SELECT s_suppkey, top + row_number() OVER (ORDER BY s_suppkey) AS new_id FROM su
 def import_remap(spark: SparkSession, d: str) -> DataFrame:
     """Imported objects get numbers above those in use: ranks in chunks of ids plus the chunks' offsets."""
     s = table(spark, d, "supplier").where("s_nationkey < 5").select("s_suppkey", F.floor(F.col("s_suppkey") / 4096).alias("chunk"))
-    top = table(spark, d, "nation").agg(F.max("n_nationkey").cast("long").alias("top"))
+    top = table(spark, d, "nation").agg(F.max("n_nationkey")).first()[0]
     sizes = s.groupBy("chunk").count()
     offset = F.coalesce(F.sum("count").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rank = F.row_number().over(Window.partitionBy("chunk").orderBy("s_suppkey"))
-    joined = s.withColumn("rank", rank).join(sizes.select("chunk", offset.alias("offset")), "chunk").join(F.broadcast(top))
-    return joined.select("s_suppkey", (F.col("top") + F.col("offset") + F.col("rank")).alias("new_id"))
+    joined = s.withColumn("rank", rank).join(sizes.select("chunk", offset.alias("offset")), "chunk")
+    return joined.select("s_suppkey", (F.lit(top).cast("long") + F.col("offset") + F.col("rank")).alias("new_id"))
 
 
 @query("""
