@@ -90,8 +90,8 @@ def colour_srgb(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, 2.0 * p_size + 3.0 * (p_partkey % 7) + 5.0 AS x, -1.0 * p_size + 4.0 * (p_partkey % 7) - 2.0 AS y,
-       least(2.0 * p_size, 2.0 * p_size + 30.0) + 5.0 AS llx, greatest(0.0, 2.0 * p_size) + 30.0 + 5.0 AS urx FROM part""")
+SELECT p_partkey, CAST(2 * p_size + 3 * (p_partkey % 7) + 5 AS DOUBLE) AS x, CAST(-p_size + 4 * (p_partkey % 7) - 2 AS DOUBLE) AS y,
+       CAST(2 * p_size + 5 AS DOUBLE) AS llx, CAST(2 * p_size + 35 AS DOUBLE) AS urx FROM part""")
 def affine_apply(spark: SparkSession, d: str) -> DataFrame:
     m = geometry.matrix(2, -1, 3, 4, 5, -2)
     r = geometry.apply_to_rect(m, geometry.rect(F.col("p_size").cast("double"), 0, F.col("p_size").cast("double"), 10))
