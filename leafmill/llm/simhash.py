@@ -9,8 +9,8 @@ For the others, x and y are within two bits if and only if flipping at most one
 word z, so each goes to its z's (only bits outside the mask need flipping) and is linked to the smallest there.
 A z has at most 65 different fingerprints, so no group grows with the data, and no pairs are made.
 
-``near_duplicates`` takes several fingerprints of a text's distinct words as candidates, and decides by the
-resemblance of five-word shingles, which a signature of 128 bins estimates.
+``near_duplicates`` takes texts that share a band of MinHash values of their five-word shingles as candidates, and
+decides by the resemblance of these shingles, which the share of equal minima estimates.
 
 Nulls and empty texts have fingerprint zero and form one group like any equal texts. Rows that repeat an id
 count as one document; null ids are linked but never name a group if another id can.
@@ -124,91 +124,102 @@ def components(docs: DataFrame, ngram: int = 3) -> DataFrame:
     return fps.join(names, F.col("fp") == F.col("named")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near duplicates by shingle resemblance, with covering tables for candidates.
+# Near duplicates by shingle resemblance, with banded MinHash for candidates.
 
-#: Fingerprints a text, bins of its signature, words in a shingle, the least resemblance, and what the estimate must reach.
-PRINTS, BINS, NGRAM, SIMILARITY, ESTIMATE = 8, 128, 5, 0.8, 0.7
+#: Bands a text and minima a band, words in a shingle, the least resemblance, and what the estimate must reach.
+#: Texts with resemblance 0.8 share no band in (1 - 0.8^5)^32 = 3 of a million cases.
+BANDS, ROWS, NGRAM, SIMILARITY, ESTIMATE = 32, 5, 5, 0.8, 0.7
+_MINIMA = BANDS * ROWS
+_ODD = 0x9E3779B97F4A7C15
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    h = h + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & (2**64 - 1))
+    h = h + np.uint64((_ODD * (k + 1)) & (2**64 - 1))
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
-def sketch(text: bytes, ngram: int = NGRAM) -> tuple[list[int], bytes]:
-    """Fingerprints of a text's distinct words, and its signature: for each bin of shingle hashes a byte of the
-    smallest hash there, 0 for none."""
+_FACTORS = _mixed(np.arange(_MINIMA, dtype=np.uint64), 1)[:, None] | np.uint64(1)
+_SHIFTS = _mixed(np.arange(_MINIMA, dtype=np.uint64), 2)[:, None]
+
+
+def shingle_set(text: bytes, ngram: int = NGRAM) -> np.ndarray:
+    """The distinct hashes of a text's word shingles in order; a shorter text is one shingle, one without words has none."""
     words = text.translate(_LOWER).split()
     if not words:
-        return [0] * PRINTS, bytes(BINS)
+        return np.zeros(0, dtype=np.uint64)
     h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), dtype=">u8").astype(np.uint64)
-    once = np.unique(h)
-    prints = []
-    for k in range(PRINTS):
-        bits = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(once), 1 << 16):
-            bits += np.unpackbits(_mixed(once[at : at + (1 << 16)], k).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        prints.append(int(np.packbits(2 * bits > len(once)).view("<i8")[0]))
     n = max(1, len(h) - ngram + 1)
     s = np.zeros(n, dtype=np.uint64)
     for i in range(min(ngram, len(h))):
-        s = s * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
-    s = np.unique(_mixed(s, 99))
-    first = np.searchsorted(s, np.arange(BINS, dtype=np.uint64) << np.uint64(57))
-    found = s[np.minimum(first, len(s) - 1)]
-    there = (first < len(s)) & (found >> np.uint64(57) == np.arange(BINS, dtype=np.uint64))
-    return prints, np.where(there, 1 + (found & np.uint64(0xFFFFFF)) % np.uint64(255), 0).astype(np.uint8).tobytes()
+        s = s * np.uint64(_ODD) + h[i : i + n]
+    return np.unique(_mixed(s, 99))
+
+
+def content_key(shingles: np.ndarray) -> int:
+    """One number for all texts with the same shingles."""
+    return xxhash.xxh64_intdigest(shingles.tobytes()) - 2**63
+
+
+def sketch(shingles: np.ndarray) -> tuple[list[int], bytes]:
+    """The bands of a set of shingles, as signed numbers, and a byte of each of its minima."""
+    if not len(shingles):
+        return [], bytes(_MINIMA)
+    least = np.full(_MINIMA, 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(shingles), 2048):
+        least = np.minimum(least, (shingles[at : at + 2048] * _FACTORS + _SHIFTS).min(axis=1))
+    bands = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        bands = _mixed(bands * np.uint64(_ODD) + column, 3)
+    return bands.view(np.int64).tolist(), (least >> np.uint64(24)).astype(np.uint8).tobytes()
 
 
 def _resemblance(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(a), dtype=np.uint8).reshape(-1, BINS)
-    y = np.frombuffer(b"".join(b), dtype=np.uint8).reshape(-1, BINS)
-    some = ((x > 0) | (y > 0)).sum(axis=1)
-    return np.where(some > 0, ((x == y) & (x > 0)).sum(axis=1) / np.maximum(some, 1), 1.0)
+    """What the minima say of the resemblance."""
+    x = np.frombuffer(b"".join(a), dtype=np.uint8).reshape(-1, _MINIMA)
+    y = np.frombuffer(b"".join(b), dtype=np.uint8).reshape(-1, _MINIMA)
+    return (x == y).mean(axis=1)
 
 
 def near_duplicates(docs: DataFrame, ngram: int = NGRAM, estimate: float = ESTIMATE) -> DataFrame:
     """(doc_id, group_id): the smallest id of the texts that resemble a document, directly or over others; one
     row for each id.
 
-    Texts with equal sketches are one from the start. In every bucket of every covering table the members are
+    Texts with equal shingles are one from the start. In every bucket of every band the members are
     compared with the smallest; those that don't resemble it stay and are compared with the smallest of them,
     until no bucket has two members left. So the work is linear where a bucket holds one group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch(t.as_py(), ngram) for t in batch.column(1)]
-            keys = [xxhash.xxh64_intdigest(np.array(p, dtype=np.int64).tobytes() + s) - 2**63 for p, s in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array([p for p, _ in found], pa.list_(pa.int64())), pa.array([s for _, s in found], pa.binary())], names=["doc_id", "c", "prints", "sig"])
+            sets = [shingle_set(t.as_py(), ngram) for t in batch.column(1)]
+            found = [sketch(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(content_key, sets), pa.int64()), pa.array([b for b, _ in found], pa.list_(pa.int64())), pa.array([m for _, m in found], pa.binary())], names=["doc_id", "c", "bands", "sig"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = _resemblance(batch.column(4).to_pylist(), batch.column(5).to_pylist()) >= estimate if batch.num_rows else np.zeros(0, dtype=bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(same, pa.bool_())], names=["t", "key", "lead", "c", "same"])
+            same = _resemblance(batch.column(3).to_pylist(), batch.column(4).to_pylist()) >= estimate if batch.num_rows else np.zeros(0, dtype=bool)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(same, pa.bool_())], names=["key", "lead", "c", "same"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    all_docs = materialize(rows.mapInArrow(run, "doc_id long, c long, prints array<long>, sig binary"), "sketches")
-    texts = materialize(all_docs.groupBy("c").agg(F.min("doc_id").alias("first_id"), F.min("sig").alias("sig"), F.min("prints").alias("prints")), "texts")
-    masks = covering_masks(2)
-    keys = [F.struct(F.lit(p * len(masks) + i).alias("t"), F.element_at("prints", p + 1).bitwiseAND(F.lit(m)).alias("key")) for p in range(PRINTS) for i, m in enumerate(masks)]
-    members = texts.select("c", F.explode(F.array(*keys)).alias("k")).select("k.t", "k.key", "c")
+    all_docs = materialize(rows.mapInArrow(run, "doc_id long, c long, bands array<long>, sig binary"), "sketches")
+    texts = materialize(all_docs.groupBy("c").agg(F.min("doc_id").alias("first_id"), F.min("sig").alias("sig"), F.min("bands").alias("bands")), "texts")
+    members = texts.select("c", F.explode("bands").alias("key"))
     signatures = texts.select(F.col("c").alias("sc"), "sig")
     edges: DataFrame | None = None
     while True:
-        leads = materialize(members.groupBy("t", "key").agg(F.min("c").alias("lead"), F.max("c").alias("last")).where("lead < last").select(F.col("t").alias("lt"), F.col("key").alias("lkey"), "lead"), "leads")
+        leads = materialize(members.groupBy("key").agg(F.min("c").alias("lead"), F.max("c").alias("last")).where("lead < last").select(F.col("key").alias("lkey"), "lead"), "leads")
         if not leads.limit(1).count():
             release(leads)
             break
-        pairs = members.join(leads, (F.col("t") == F.col("lt")) & (F.col("key") == F.col("lkey"))).where("c != lead").select("t", "key", "lead", "c")
-        pairs = pairs.join(signatures, F.col("c") == F.col("sc")).select("t", "key", "lead", "c", F.col("sig").alias("sig1"))
-        pairs = pairs.join(signatures, F.col("lead") == F.col("sc")).select("t", "key", "lead", "c", "sig1", "sig")
-        judged = materialize(pairs.mapInArrow(judge, "t int, key long, lead long, c long, same boolean"), "judged")
+        pairs = members.join(leads, F.col("key") == F.col("lkey")).where("c != lead").select("key", "lead", "c")
+        pairs = pairs.join(signatures, F.col("c") == F.col("sc")).select("key", "lead", "c", F.col("sig").alias("sig1"))
+        pairs = pairs.join(signatures, F.col("lead") == F.col("sc")).select("key", "lead", "c", "sig1", "sig")
+        judged = materialize(pairs.mapInArrow(judge, "key long, lead long, c long, same boolean"), "judged")
         found = judged.where("same").select(F.col("lead").alias("a"), F.col("c").alias("b")).distinct()
         edges = found if edges is None else edges.unionByName(found)
-        members = judged.where("not same").select("t", "key", "c")
+        members = judged.where("not same").select("key", "c")
     plain = texts.select("c", "first_id")
     if edges is not None:
         roots = connected(edges)

@@ -223,6 +223,31 @@ def test_near_duplicates(spark):
             assert max(alike(sets[i], sets[j]) for j in names if j != i and groups[j] == groups[i]) > 0.6
 
 
+def shingled(text):
+    w = text.lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def alike(a, b):
+    return len(shingled(a) & shingled(b)) / len(shingled(a) | shingled(b))
+
+
+def test_near_duplicates_with_blocks_added_cut_and_moved(spark):
+    rng = random.Random(8)
+    words = lambda n: [f"w{int(rng.paretovariate(0.9))}" for _ in range(n)]
+    docs, pairs = [], []
+    for k in range(150):
+        base = words(rng.randrange(150, 600))
+        n = len(base) // 6
+        copy = [base + words(n), words(n) + base, base[n:], base[len(base) // 2 :] + base[: len(base) // 2]][k % 4]
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        if alike(docs[-1][1], docs[-2][1]) >= 0.8:
+            pairs.append((2 * k, 2 * k + 1))
+    groups = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(pairs) > 120
+    assert np.mean([groups[a] == groups[b] for a, b in pairs]) > 0.97
+
+
 def test_html_extraction(spark):
     page = """<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Home</a></nav><div class="cookie-notice">We use cookies on this site.</div>
     <article><header><h1>The  head</h1></header><p>First &amp; best<br>para&shy;graph.</p><ul><li>one thing</li></ul><aside>Related: <a>more</a></aside>
