@@ -186,9 +186,11 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, estimate: float = ESTIM
     """(doc_id, group_id): the smallest id of the texts that resemble a document, directly or over others; one
     row for each id.
 
-    Texts with equal shingles are one from the start. In every bucket of every band the members are
-    compared with the smallest; those that don't resemble it stay and are compared with the smallest of them,
-    until no bucket has two members left. So the work is linear where a bucket holds one group.
+    Texts with equal shingles are one from the start. In every round each bucket (texts with a band in common) names
+    leads, four times as many as in the last one and first those that have company, and every member of another
+    group is compared with them. Then leads leave the bucket, as they have been compared with all members; the
+    others stay, linked or not. A bucket ends when what is left of it is one group, so no unlinked pair stays
+    undecided, and the work is linear where a bucket holds one group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,30 +201,45 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, estimate: float = ESTIM
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = _resemblance(batch.column(3).to_pylist(), batch.column(4).to_pylist()) >= estimate if batch.num_rows else np.zeros(0, dtype=bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(same, pa.bool_())], names=["key", "lead", "c", "same"])
+            same = _resemblance(batch.column(2).to_pylist(), batch.column(3).to_pylist()) >= estimate if batch.num_rows else np.zeros(0, dtype=bool)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(same, pa.bool_())], names=["a", "b", "same"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     all_docs = materialize(rows.mapInArrow(run, "doc_id long, c long, bands array<long>, sig binary"), "sketches")
     texts = materialize(all_docs.groupBy("c").agg(F.min("doc_id").alias("first_id"), F.min("sig").alias("sig"), F.min("bands").alias("bands")), "texts")
     members = texts.select("c", F.explode("bands").alias("key"))
+    shared = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("key").alias("skey")).hint("merge")
+    members = materialize(members.join(shared, F.col("key") == F.col("skey")).select("key", "c", F.col("c").alias("root"), F.lit(True).alias("alone")), "members")
     signatures = texts.select(F.col("c").alias("sc"), "sig")
-    edges: DataFrame | None = None
-    while True:
-        leads = materialize(members.groupBy("key").agg(F.min("c").alias("lead"), F.max("c").alias("last")).where("lead < last").select(F.col("key").alias("lkey"), "lead"), "leads")
-        if not leads.limit(1).count():
-            release(leads)
-            break
-        pairs = members.join(leads, F.col("key") == F.col("lkey")).where("c != lead").select("key", "lead", "c")
-        pairs = pairs.join(signatures, F.col("c") == F.col("sc")).select("key", "lead", "c", F.col("sig").alias("sig1"))
-        pairs = pairs.join(signatures, F.col("lead") == F.col("sc")).select("key", "lead", "c", "sig1", "sig")
-        judged = materialize(pairs.mapInArrow(judge, "key long, lead long, c long, same boolean"), "judged")
-        found = judged.where("same").select(F.col("lead").alias("a"), F.col("c").alias("b")).distinct()
-        edges = found if edges is None else edges.unionByName(found)
-        members = judged.where("not same").select("key", "c")
+    edges = roots = decided = None
+    wanted = 1
+    while members.limit(1).count():
+        # part by part, so that the leads of a large bucket are not looked for in one task
+        part = F.pmod("c", F.lit(wanted)).alias("part")
+        leads = members.groupBy("key", part).agg(F.min(F.struct("alone", "c", "root")).alias("x"))
+        leads = materialize(leads.select(F.col("key").alias("lkey"), F.col("x.c").alias("lead"), F.col("x.root").alias("lead_root")), "leads")
+        pairs = members.join(leads.hint("merge"), F.col("key") == F.col("lkey")).where("root != lead_root")
+        pairs = pairs.select(F.least("c", "lead").alias("a"), F.greatest("c", "lead").alias("b")).distinct()
+        if decided is not None:
+            pairs = pairs.join(decided.select(F.col("a").alias("da"), F.col("b").alias("db")).hint("merge"), (F.col("a") == F.col("da")) & (F.col("b") == F.col("db")), "left_anti")
+        pairs = pairs.join(signatures.hint("merge"), F.col("b") == F.col("sc")).select("a", "b", F.col("sig").alias("sig1"))
+        pairs = pairs.join(signatures.hint("merge"), F.col("a") == F.col("sc")).select("a", "b", "sig1", "sig")
+        judged = materialize(pairs.mapInArrow(judge, "a long, b long, same boolean"), "judged")
+        decided = judged if decided is None else decided.unionByName(judged)
+        edges = decided.where("same").select("a", "b")
+        release(roots)
+        roots = materialize(connected(edges), "roots")
+        done = leads.select("lkey", "lead").hint("merge")
+        left = members.join(done, (F.col("key") == F.col("lkey")) & (F.col("c") == F.col("lead")), "left_anti").select("key", "c")
+        left = left.join(roots.hint("merge"), F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("root", "c").alias("root"), F.col("root").isNull().alias("alone"))
+        left = materialize(left, "left")
+        mixed = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.col("key").alias("mkey")).hint("merge")
+        new = materialize(left.join(mixed, F.col("key") == F.col("mkey")).select("key", "c", "root", "alone"), "members")
+        release(members, leads, left)
+        members, wanted = new, wanted * 4
+    release(members)
     plain = texts.select("c", "first_id")
-    if edges is not None:
-        roots = connected(edges)
+    if roots is not None:
         plain = plain.join(roots, F.col("c") == F.col("node"), "left").select("c", "first_id", F.coalesce("root", "c").alias("root"))
         names = plain.groupBy("root").agg(F.min("first_id").alias("group_id")).withColumnRenamed("root", "r")
         plain = plain.join(names, F.col("root") == F.col("r")).select("c", "group_id")

@@ -248,6 +248,23 @@ def test_near_duplicates_with_blocks_added_cut_and_moved(spark):
     assert np.mean([groups[a] == groups[b] for a, b in pairs]) > 0.97
 
 
+def test_near_duplicates_of_one_original(spark):
+    """Copies that resemble their original, but hardly one another, are one group whichever leads a bucket."""
+    rng = random.Random(4)
+    docs = []
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(1000)]
+        docs.append((1000 * g, " ".join(base)))
+        for k in range(1, 121):
+            copy = list(base)
+            for at in rng.sample(range(1000), 20):
+                copy[at] = f"new{k}x{at}"
+            docs.append((1000 * g + k, " ".join(copy)))
+    assert all(alike(docs[0][1], docs[k][1]) >= 0.8 for k in range(1, 121)) and alike(docs[1][1], docs[2][1]) < 0.7
+    groups = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(groups[i] == i // 1000 * 1000 for i, _ in docs)
+
+
 def test_html_extraction(spark):
     page = """<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Home</a></nav><div class="cookie-notice">We use cookies on this site.</div>
     <article><header><h1>The  head</h1></header><p>First &amp; best<br>para&shy;graph.</p><ul><li>one thing</li></ul><aside>Related: <a>more</a></aside>
