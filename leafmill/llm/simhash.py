@@ -10,7 +10,7 @@ word z, so each goes to its z's (only bits outside the mask need flipping) and i
 A z has at most 65 different fingerprints, so no group grows with the data, and no pairs are made.
 
 ``near_duplicates`` takes texts that share a band of MinHash values of their five-word shingles as candidates, and
-decides by the resemblance of these shingles, which the share of equal minima estimates.
+decides by the exact resemblance of these shingles.
 
 Nulls and empty texts have fingerprint zero and form one group like any equal texts. Rows that repeat an id
 count as one document; null ids are linked but never name a group if another id can.
@@ -126,9 +126,10 @@ def components(docs: DataFrame, ngram: int = 3) -> DataFrame:
 
 # Near duplicates by shingle resemblance, with banded MinHash for candidates.
 
-#: Bands a text and minima a band, words in a shingle, the least resemblance, and what the estimate must reach.
-#: Texts with resemblance 0.8 share no band in (1 - 0.8^5)^32 = 3 of a million cases.
-BANDS, ROWS, NGRAM, SIMILARITY, ESTIMATE = 32, 5, 5, 0.8, 0.7
+#: Bands a text and minima a band, words in a shingle, the least resemblance, and what the estimate must reach
+#: before texts are compared. Texts with resemblance 0.8 share no band in (1 - 0.8^5)^32 = 3 of a million cases, and
+#: their estimate from 160 minima is below 0.6 in less than one of ten million.
+BANDS, ROWS, NGRAM, SIMILARITY, ESTIMATE = 32, 5, 5, 0.8, 0.6
 _MINIMA = BANDS * ROWS
 _ODD = 0x9E3779B97F4A7C15
 
@@ -176,13 +177,51 @@ def sketch(shingles: np.ndarray) -> tuple[list[int], bytes]:
 
 
 def _resemblance(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """What the minima say of the resemblance."""
+    """What the minima say of the resemblance, before the texts are compared."""
     x = np.frombuffer(b"".join(a), dtype=np.uint8).reshape(-1, _MINIMA)
     y = np.frombuffer(b"".join(b), dtype=np.uint8).reshape(-1, _MINIMA)
     return (x == y).mean(axis=1)
 
 
-def near_duplicates(docs: DataFrame, ngram: int = NGRAM, estimate: float = ESTIMATE) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, ngram: int, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) of content keys those whose texts' shingles resemble each other in fact."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a task gives a text once, so copies don't meet in one place
+        for batch in batches:
+            keys, texts = [], []
+            for x in batch.column(0):
+                key = content_key(shingle_set(x.as_py(), ngram))
+                if key not in seen:
+                    seen.add(key)
+                    keys.append(key)
+                    texts.append(x.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.binary())], names=["c", "text"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = mine = None  # rows of one lead mostly follow one another
+        for batch in batches:
+            same = []
+            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if mine is None or a != last:
+                    last, mine = a, shingle_set(x.as_py(), ngram)
+                other = shingle_set(y.as_py(), ngram)
+                both = len(np.intersect1d(mine, other, assume_unique=True))
+                same.append(both / max(1, len(mine) + len(other) - both) >= similarity)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(same, pa.bool_())], names=["a", "b", "same"])
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct().hint("merge")
+    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).mapInArrow(keyed, "c long, text binary")
+    texts = materialize(texts.join(ends, F.col("c") == F.col("need"), "left_semi").groupBy("c").agg(F.first("text").alias("text")), "verify")
+    left = texts.select(F.col("c").alias("ca"), F.col("text").alias("text1")).hint("merge")
+    right = texts.select(F.col("c").alias("cb"), F.col("text").alias("text2")).hint("merge")
+    out = pairs.join(right, F.col("b") == F.col("cb")).join(left, F.col("a") == F.col("ca")).select("a", "b", "text1", "text2")
+    out = materialize(out.mapInArrow(judge, "a long, b long, same boolean"), "verified")
+    release(texts)
+    return out
+
+
+def near_duplicates(docs: DataFrame, ngram: int = NGRAM, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, group_id): the smallest id of the texts that resemble a document, directly or over others; one
     row for each id.
 
@@ -190,7 +229,8 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, estimate: float = ESTIM
     leads, four times as many as in the last one and first those that have company, and every member of another
     group is compared with them. Then leads leave the bucket, as they have been compared with all members; the
     others stay, linked or not. A bucket ends when what is left of it is one group, so no unlinked pair stays
-    undecided, and the work is linear where a bucket holds one group.
+    undecided, and the work is linear where a bucket holds one group. Pairs whose estimate is far below ``similarity``
+    are refused by it; the texts of all others are compared.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,9 +239,11 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, estimate: float = ESTIM
             found = [sketch(x) for x in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(content_key, sets), pa.int64()), pa.array([b for b, _ in found], pa.list_(pa.int64())), pa.array([m for _, m in found], pa.binary())], names=["doc_id", "c", "bands", "sig"])
 
+    least = similarity - (SIMILARITY - ESTIMATE)
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = _resemblance(batch.column(2).to_pylist(), batch.column(3).to_pylist()) >= estimate if batch.num_rows else np.zeros(0, dtype=bool)
+            same = _resemblance(batch.column(2).to_pylist(), batch.column(3).to_pylist()) >= least if batch.num_rows else np.zeros(0, dtype=bool)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(same, pa.bool_())], names=["a", "b", "same"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
@@ -225,6 +267,9 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, estimate: float = ESTIM
         pairs = pairs.join(signatures.hint("merge"), F.col("b") == F.col("sc")).select("a", "b", F.col("sig").alias("sig1"))
         pairs = pairs.join(signatures.hint("merge"), F.col("a") == F.col("sc")).select("a", "b", "sig1", "sig")
         judged = materialize(pairs.mapInArrow(judge, "a long, b long, same boolean"), "judged")
+        near = judged.where("same").select("a", "b")
+        verified = _verified(docs, near, ngram, similarity) if near.limit(1).count() else near.withColumn("same", F.lit(True))
+        judged = judged.where("not same").unionByName(verified)
         decided = judged if decided is None else decided.unionByName(judged)
         edges = decided.where("same").select("a", "b")
         release(roots)
@@ -249,10 +294,10 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, estimate: float = ESTIM
     return all_docs.select("doc_id", "c").join(plain, F.col("c") == F.col("pc")).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
 
 
-def deduplicate(docs: DataFrame, ngram: int = NGRAM, estimate: float = ESTIMATE) -> DataFrame:
+def deduplicate(docs: DataFrame, ngram: int = NGRAM, similarity: float = SIMILARITY) -> DataFrame:
     """The documents, with their columns, of which one of each group stays: that with the smallest id. Of rows
     that repeat this id one stays."""
-    groups = materialize(near_duplicates(docs, ngram, estimate), "near")
+    groups = materialize(near_duplicates(docs, ngram, similarity), "near")
     # the ids that go grow with the input, so they are never broadcast
     gone = groups.where("doc_id != group_id").select(F.col("doc_id").alias("gone_id")).hint("merge")
     repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0

@@ -265,6 +265,21 @@ def test_near_duplicates_of_one_original(spark):
     assert all(groups[i] == i // 1000 * 1000 for i, _ in docs)
 
 
+def test_near_duplicates_links_nothing_below_the_resemblance(spark):
+    rng = random.Random(6)
+    docs = []
+    for k in range(200):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        copy = list(base)
+        n = rng.randrange(6, 22)
+        copy[:n] = [f"n{rng.randrange(10**6)}" for _ in range(n)]
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    groups = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    wanted = [alike(docs[2 * k][1], docs[2 * k + 1][1]) >= 0.8 for k in range(200)]
+    assert 0 < sum(wanted) < 150 and sum(0.65 < alike(docs[2 * k][1], docs[2 * k + 1][1]) < 0.8 for k in range(200)) > 50
+    assert [groups[2 * k] == groups[2 * k + 1] for k in range(200)] == wanted
+
+
 def test_html_extraction(spark):
     page = """<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Home</a></nav><div class="cookie-notice">We use cookies on this site.</div>
     <article><header><h1>The  head</h1></header><p>First &amp; best<br>para&shy;graph.</p><ul><li>one thing</li></ul><aside>Related: <a>more</a></aside>
