@@ -12,8 +12,8 @@ A z has at most 65 different fingerprints, so no group grows with the data, and
 ``near_duplicates`` takes texts that share a band of MinHash values of their five-word shingles as candidates, and
 decides by the exact resemblance of these shingles.
 
-Nulls and empty texts have fingerprint zero and form one group like any equal texts. Rows that repeat an id
-count as one document; null ids are linked but never name a group if another id can.
+Nulls and empty texts have fingerprint zero and form one group like any equal texts. Rows that repeat an id with
+other texts are deduplicated by their own text; null ids are linked but never name a group if another id can.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -221,9 +222,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, ngram: int, similarity: float)
     return out
 
 
-def near_duplicates(docs: DataFrame, ngram: int = NGRAM, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, group_id): the smallest id of the texts that resemble a document, directly or over others; one
-    row for each id.
+def text_groups(docs: DataFrame, ngram: int = NGRAM, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, c) of every row, c the content key of its text; and (c, root, group_id): texts that resemble each
+    other, directly or over others, share a root and the smallest id of them all.
 
     Texts with equal shingles are one from the start. In every round each bucket (texts with a band in common) names
     leads, four times as many as in the last one and first those that have company, and every member of another
@@ -283,23 +284,40 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, similarity: float = SIM
         release(members, leads, left)
         members, wanted = new, wanted * 4
     release(members)
-    plain = texts.select("c", "first_id")
+    plain = texts.select("c", "first_id", F.col("c").alias("root"))
     if roots is not None:
-        plain = plain.join(roots, F.col("c") == F.col("node"), "left").select("c", "first_id", F.coalesce("root", "c").alias("root"))
-        names = plain.groupBy("root").agg(F.min("first_id").alias("group_id")).withColumnRenamed("root", "r")
-        plain = plain.join(names, F.col("root") == F.col("r")).select("c", "group_id")
-    else:
-        plain = plain.select("c", F.col("first_id").alias("group_id"))
-    plain = materialize(plain.withColumnRenamed("c", "pc"), "groups")
-    return all_docs.select("doc_id", "c").join(plain, F.col("c") == F.col("pc")).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+        plain = texts.select("c", "first_id").join(roots, F.col("c") == F.col("node"), "left").select("c", "first_id", F.coalesce("root", "c").alias("root"))
+    plain = materialize(plain, "placed")
+    names = plain.groupBy("root").agg(F.min("first_id").alias("group_id")).withColumnRenamed("root", "r").hint("merge")
+    return all_docs.select("doc_id", "c"), materialize(plain.join(names, F.col("root") == F.col("r")).select("c", "root", "group_id"), "groups")
+
+
+def near_duplicates(docs: DataFrame, ngram: int = NGRAM, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, group_id): the smallest id of the texts that resemble a document, directly or over others; one
+    row for each id."""
+    rows, groups = text_groups(docs, ngram, similarity)
+    groups = groups.withColumnRenamed("c", "pc").hint("merge")
+    return rows.join(groups, F.col("c") == F.col("pc")).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
 
 
 def deduplicate(docs: DataFrame, ngram: int = NGRAM, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents, with their columns, of which one of each group stays: that with the smallest id. Of rows
-    that repeat this id one stays."""
-    groups = materialize(near_duplicates(docs, ngram, similarity), "near")
-    # the ids that go grow with the input, so they are never broadcast
-    gone = groups.where("doc_id != group_id").select(F.col("doc_id").alias("gone_id")).hint("merge")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(gone, F.col("row.doc_id") == F.col("gone_id"), "left_anti").select("row.*")
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """The documents, with their columns, of which one of each group of texts stays: that with the smallest id, and
+    of texts that share this id the one with the smallest key. Null ids come last. Rows that repeat an id and a text
+    are one."""
+    rows, groups = text_groups(docs, ngram, similarity)
+    each = rows.groupBy("doc_id", "c").agg(F.count("*").alias("n"))
+    each = materialize(each.join(groups.withColumnRenamed("c", "pc").hint("merge"), F.col("c") == F.col("pc")).select("doc_id", "c", "n", "root"), "near")
+    best = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "c")).alias("best"))
+    best = best.select(F.col("root").alias("r"), "best").hint("merge")
+    lost = ~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("c") == F.col("best.c")))
+    # what goes grows with the input, so it is never broadcast
+    gone = materialize(each.join(best, F.col("root") == F.col("r")).where(lost).select(F.col("doc_id").alias("gone_id"), F.col("c").alias("gone_c")), "gone").hint("merge")
+    repeated = each.where("n > 1").limit(1).count() > 0
+
+    @F.pandas_udf("long")
+    def key(texts: pd.Series) -> pd.Series:
+        return pd.Series([content_key(shingle_set(bytes(t), ngram)) for t in texts], dtype="int64")
+
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), key(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("c"))
+    kept = kept.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("c") == F.col("gone_c")), "left_anti")
+    return (kept.dropDuplicates(["id", "c"]) if repeated else kept).select("row.*")

@@ -280,6 +280,13 @@ def test_near_duplicates_links_nothing_below_the_resemblance(spark):
     assert [groups[2 * k] == groups[2 * k + 1] for k in range(200)] == wanted
 
 
+def test_deduplicate_keeps_unlike_texts_of_one_id(spark):
+    one, two, three, four = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcd")
+    rows = [(None, one), (None, two), (None, two), (1, three), (7, three), (7, four), (7, four), (None, three), (2, "")]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(None, one), (None, two), (1, three), (7, four), (2, "")], key=str)
+
+
 def test_html_extraction(spark):
     page = """<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Home</a></nav><div class="cookie-notice">We use cookies on this site.</div>
     <article><header><h1>The  head</h1></header><p>First &amp; best<br>para&shy;graph.</p><ul><li>one thing</li></ul><aside>Related: <a>more</a></aside>
