@@ -1,6 +1,6 @@
 """Benchmark decontamination by a generalised suffix automaton over words.
 
-The normalised test items form one automaton on the driver (its size is checked), which is broadcast.
+The normalised test items form automata of bounded size on the driver, which are broadcast one after the other.
 Documents are streamed word by word; the automaton tracks the longest match that ends at each word, and
 a match of ``window`` words (or of a whole shorter item) marks its words as hit. There is no shuffle.
 
@@ -15,10 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._io import materialize, release
+
 #: Words are runs of digits, ASCII letters (lower-cased) and anything beyond ASCII; on UTF-8 that is a byte map.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WINDOW = 10
@@ -141,13 +144,78 @@ class SuffixAutomaton:
                     spans.append((i - reach, i))
 
 
-def automaton(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> SuffixAutomaton:
-    """Builds the automaton from the test items, whose number of words is checked before they are collected."""
+def parts(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text", most: int | None = None) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The test items with their words, in lists of ``most`` words at most, one after the other; one list at least.
+
+    A longer item is cut into pieces that overlap by all but one word of a window, so every window is in one."""
+    most = max(most or MAX_ITEM_WORDS, window)
     items = benchmark.select(F.col(id_col).cast("string").alias("k"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
-    size = items.agg(F.sum(F.size(F.split(F.col("t").cast("string"), " ")))).first()[0] or 0
-    if size > MAX_ITEM_WORDS:
-        raise ValueError(f"the test items have about {size} words; one automaton takes {MAX_ITEM_WORDS}. Pass the benchmark in parts.")
-    return SuffixAutomaton([(k or "", words(bytes(t))) for k, t in sorted(map(tuple, items.collect()), key=str)], window)
+    held: list[tuple[str, list[bytes]]] = []
+    size = 0
+    for k, t in items.toLocalIterator():
+        found = words(bytes(t))
+        for at in range(0, max(min(1, len(found)), len(found) - window + 1), most - window + 1):
+            piece = found[at : at + most]
+            if size + len(piece) > most:
+                yield held
+                held, size = [], 0
+            held.append((k or "", piece))
+            size += len(piece)
+    yield held
+
+
+def united(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Both lists of spans as one, in which spans that meet are one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted([*a, *b]):
+        if out and out[-1][1] >= start:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
+#: Columns that carry what the parts of the benchmark before the last one have found.
+_STARTS, _ENDS, _ITEMS = "_hit_starts", "_hit_ends", "_hit_items"
+_CARRIED = [T.StructField(_STARTS, T.ArrayType(T.LongType())), T.StructField(_ENDS, T.ArrayType(T.LongType())), T.StructField(_ITEMS, T.ArrayType(T.StringType()))]
+
+
+def _carried(batch: pa.RecordBatch) -> list[tuple[list[tuple[int, int]], set[str]]]:
+    if _STARTS not in batch.schema.names:
+        return [([], set())] * batch.num_rows
+    columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (_STARTS, _ENDS, _ITEMS))
+    return [(list(zip(a, b, strict=True)), set(x)) for a, b, x in zip(*columns, strict=True)]
+
+
+def _before_last(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, Broadcast]:
+    """The documents with what all parts of the benchmark but the last have found, and the last one's automaton.
+
+    Every part is one pass over the documents, whose table is written before the next, so an executor holds one
+    automaton at a time. A benchmark of one part leaves the documents as they are."""
+    at, width = docs.columns.index("text"), len(docs.columns)
+    context = docs.sparkSession.sparkContext
+    lists = parts(benchmark, window)
+    frame, items = docs, next(lists)
+    for following in lists:
+        model = context.broadcast(SuffixAutomaton(sorted(items), window))
+
+        def scan(batches: Iterator[pa.RecordBatch], model: Broadcast = model) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                for text, (spans, found) in zip(batch.column(at), _carried(batch), strict=True):
+                    raw = text.as_py()
+                    new, more = model.value.match(words(raw.encode() if isinstance(raw, str) else raw))
+                    rows.append((united(spans, new), sorted(found | more)))
+                longs, strings = pa.list_(pa.int64()), pa.list_(pa.string())
+                carried = [pa.array([[x for x, _ in s] for s, _ in rows], longs), pa.array([[y for _, y in s] for s, _ in rows], longs), pa.array([i for _, i in rows], strings)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], *carried], names=[*batch.schema.names[:width], _STARTS, _ENDS, _ITEMS])
+
+        new = materialize(frame.mapInArrow(scan, T.StructType([*docs.schema.fields, *_CARRIED])), "decontam")
+        model.destroy()
+        if frame is not docs:
+            release(frame)
+        frame, items = new, following
+    return frame, context.broadcast(SuffixAutomaton(sorted(items), window))
 
 
 _REPORT = T.StructType([
@@ -158,29 +226,31 @@ _REPORT = T.StructType([
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: words, hit words, occurring items and their digest."""
-    model = docs.sparkSession.sparkContext.broadcast(automaton(benchmark, window))
+    frame, model = _before_last(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")), benchmark, window)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = model.value.match
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
-            for text in batch.column(1):
+            for text, (before, already) in zip(batch.column(1), _carried(batch), strict=True):
                 tokens = words(text.as_py())
                 spans, found = match(tokens)
+                spans, found = united(before, spans), already | found
                 n = sum(b - a for a, b in spans)
                 for to, x in zip(rows, (len(tokens), n, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), n > 0), strict=True):
                     to.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True))], names=_REPORT.names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(scan, _REPORT)
+    return frame.mapInArrow(scan, _REPORT)
 
 
-def clean(text: str, model: SuffixAutomaton, most: float = 0.5) -> str | None:
-    """The text without hit spans, each span's words and what lies between them; None (drop the document) if
+def clean(text: str, model: SuffixAutomaton, most: float = 0.5, before: list[tuple[int, int]] | None = None) -> str | None:
+    """The text without hit spans (those of ``before`` as well), each span's words and what lies between them; None (drop the document) if
     more than ``most`` of the words are hit."""
     raw = text.encode()
     tokens = words(raw)
     spans, _ = model.match(tokens)
+    spans = united(before or [], spans)
     if not spans:
         return text
     if sum(b - a for a, b in spans) > most * len(tokens):
@@ -200,18 +270,18 @@ def clean(text: str, model: SuffixAutomaton, most: float = 0.5) -> str | None:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: float = 0.5) -> DataFrame:
     """The documents with their columns: hit spans are cut out of the text (``n_chars``, if there, follows), and
     documents with more than ``most`` of their words hit are dropped."""
-    model = docs.sparkSession.sparkContext.broadcast(automaton(benchmark, window))
-    at = docs.columns.index("text")
+    frame, model = _before_last(docs, benchmark, window)
+    at, width = docs.columns.index("text"), len(docs.columns)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if x is None else clean(x, model.value, most) for x in batch.column(at).to_pylist()]
+            texts = [None if x is None else clean(x, model.value, most, before) for x, (before, _) in zip(batch.column(at).to_pylist(), _carried(batch), strict=True)]
             keep = [not (new is None and old.is_valid) for new, old in zip(texts, batch.column(at), strict=True)]
-            columns = batch.columns
+            columns = batch.columns[:width]
             columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:width])).filter(pa.array(keep, pa.bool_()))
 
-    out = docs.mapInArrow(scan, docs.schema)
+    out = frame.mapInArrow(scan, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

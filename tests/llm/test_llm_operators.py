@@ -355,6 +355,19 @@ def test_decontamination(spark):
     assert decontam.clean(item, model) is None and decontam.clean(filler, model) == filler
 
 
+def test_decontamination_in_parts(spark, monkeypatch):
+    """A benchmark beyond one automaton, an item among it that is longer than a part, gives the same as a whole one."""
+    docs, items = table(spark, "documents").limit(150).cache(), [tuple(r) for r in table(spark, "benchmark").select("item_id", "text").collect()]
+    text = next(r["text"] for r in docs.collect() if r["text"] and len(r["text"].split()) > 120)
+    bench = spark.createDataFrame([*items, (10_001, "\n".join(text.split()[:90])), (10_002, " ".join(text.split()[84:100])), (10_003, None)], "item_id long, text string")
+    results = []
+    for most in (1_000_000, 60):
+        monkeypatch.setattr(decontam, "MAX_ITEM_WORDS", most)
+        results.append([sorted(map(tuple, f(docs, bench).collect()), key=str) for f in (decontam.report, decontam.decontaminate)])
+    assert all(sum(len(w) for _, w in p) <= 60 for p in decontam.parts(bench)) and len(list(decontam.parts(bench))) > 3
+    assert results[0] == results[1] and any(r[5] for r in results[0][0])
+
+
 def test_mixing(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
