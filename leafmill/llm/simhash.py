@@ -18,17 +18,17 @@ other texts are deduplicated by their own text; null ids are linked but never na
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._io import materialize, release
+from ._io import collect_garbage, materialize, release
 
 SEED = 42
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -82,34 +82,48 @@ def links(distinct: DataFrame) -> DataFrame:
     return spots.join(least.select(F.col("z").alias("lz"), "a"), F.col("z") == F.col("lz")).where("fp != a").select("a", F.col("fp").alias("b")).distinct()
 
 
+def _settled(step: DataFrame) -> DataFrame:
+    """The map (node, root) followed to its end. Roots are followed in strides that double, so a path of n nodes takes
+    log n joins; a map whose roots are their own roots takes none."""
+    while True:
+        later = step.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
+        moved = step.select("root").distinct().join(later.where("n2 != r2"), F.col("root") == F.col("n2")).limit(1)
+        if not moved.count():
+            return step
+        new = materialize(step.join(later, F.col("root") == F.col("n2"), "left").select("node", F.coalesce("r2", "root").alias("root")), "settled")
+        release(step)
+        step = new
+
+
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node that each node of the links (a, b) reaches.
 
-    In every round each node takes its smallest neighbour (or itself) and the links move there; links whose
-    ends meet vanish, and the maps of the rounds are applied one after the other. Every map is written, so a
+    In every round each node takes its smallest neighbour (or itself), these steps are followed to their end, and
+    the links move there; links whose ends meet vanish. Every tree of steps has two nodes at least, so the nodes halve
+    from round to round. The maps of the rounds are applied one after the other. Every map is written, so a
     lost executor repeats one round at most, and joins have two shuffled sides, whose skew Spark splits.
     """
     current = materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v"), "links")
-    maps: list[DataFrame] = []
+    out = None
     while current.limit(1).count():
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        step = materialize(both.groupBy("u").agg(F.min("v").alias("p")).select(F.col("u").alias("node"), F.least("u", "p").alias("root")), "round")
-        maps.append(step)
+        step = _settled(materialize(both.groupBy("u").agg(F.min("v").alias("p")).select(F.col("u").alias("node"), F.least("u", "p").alias("root")), "round"))
         left = step.select(F.col("node").alias("lu"), F.col("root").alias("ru"))
         right = step.select(F.col("node").alias("lv"), F.col("root").alias("rv"))
         moved = current.join(left, F.col("u") == F.col("lu")).join(right, F.col("v") == F.col("lv")).where("ru != rv")
         new = materialize(moved.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "links")
         release(current)
         current = new
+        if out is None:
+            out = step
+        else:
+            later = step.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
+            new = materialize(out.join(later, F.col("root") == F.col("n2"), "left").select("node", F.coalesce("r2", "root").alias("root")), "map")
+            release(out, step)
+            out = new
     release(current)
-    if not maps:
+    if out is None:
         return edges.select(F.col(a).alias("node"), F.col(a).alias("root")).where(F.lit(False))
-    out = maps[0]
-    for i, step in enumerate(maps[1:]):
-        later = step.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-        new = materialize(out.join(later, F.col("root") == F.col("n2"), "left").select("node", F.coalesce("r2", "root").alias("root")), "map")
-        release(out, maps[i + 1])
-        out = new
     return out
 
 
@@ -184,8 +198,8 @@ def _resemblance(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return (x == y).mean(axis=1)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, ngram: int, similarity: float) -> DataFrame:
-    """Of the pairs (a, b) of content keys those whose texts' shingles resemble each other in fact."""
+def _texts_of(docs: DataFrame, keys: DataFrame, ngram: int) -> DataFrame:
+    """c and text, once for each of the content keys (column need); a table in the shared folder."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a task gives a text once, so copies don't meet in one place
@@ -199,6 +213,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, ngram: int, similarity: float)
                     texts.append(x.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.binary())], names=["c", "text"])
 
+    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).mapInArrow(keyed, "c long, text binary")
+    return materialize(texts.join(keys.hint("merge"), F.col("c") == F.col("need"), "left_semi").groupBy("c").agg(F.first("text").alias("text")), "pool")
+
+
+def _verified(pool: DataFrame, pairs: DataFrame, ngram: int, similarity: float) -> DataFrame:
+    """Which of the pairs (a, b) of content keys resemble each other in fact, by the shingles of their texts in ``pool``."""
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = mine = None  # rows of one lead mostly follow one another
         for batch in batches:
@@ -211,23 +232,73 @@ def _verified(docs: DataFrame, pairs: DataFrame, ngram: int, similarity: float)
                 same.append(both / max(1, len(mine) + len(other) - both) >= similarity)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(same, pa.bool_())], names=["a", "b", "same"])
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct().hint("merge")
-    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).mapInArrow(keyed, "c long, text binary")
-    texts = materialize(texts.join(ends, F.col("c") == F.col("need"), "left_semi").groupBy("c").agg(F.first("text").alias("text")), "verify")
-    left = texts.select(F.col("c").alias("ca"), F.col("text").alias("text1")).hint("merge")
-    right = texts.select(F.col("c").alias("cb"), F.col("text").alias("text2")).hint("merge")
+    left = pool.select(F.col("c").alias("ca"), F.col("text").alias("text1")).hint("merge")
+    right = pool.select(F.col("c").alias("cb"), F.col("text").alias("text2")).hint("merge")
     out = pairs.join(right, F.col("b") == F.col("cb")).join(left, F.col("a") == F.col("ca")).select("a", "b", "text1", "text2")
-    out = materialize(out.mapInArrow(judge, "a long, b long, same boolean"), "verified")
-    release(texts)
-    return out
+    return materialize(out.mapInArrow(judge, "a long, b long, same boolean"), "verified")
 
 
-def text_groups(docs: DataFrame, ngram: int = NGRAM, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, c) of every row, c the content key of its text; and (c, root, group_id): texts that resemble each
-    other, directly or over others, share a root and the smallest id of them all.
+#: Counters in each of the two tables that say how frequent a shingle is in the pool; the tables are broadcast.
+COUNTERS = 1 << 20
+
+
+def _spots(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (shingles & np.uint64(COUNTERS - 1)).astype(np.int64), (shingles >> np.uint64(40) & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def _prefixes(pool: DataFrame, ngram: int, similarity: float) -> DataFrame:
+    """Of each text (c) with n shingles the first ones in an order common to all texts, rare ones first: key, c, n and
+    the place (at) in this order.
 
-    Texts with equal shingles are one from the start. In every round each bucket (texts with a band in common) names
-    leads, four times as many as in the last one and first those that have company, and every member of another
+    Two texts whose resemblance reaches ``similarity`` share one of the first n - similarity * n + 1 of both, as what
+    is left behind would be too little. Any order is exact; counts that collide only make the places less rare.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for x in batch.column(1):
+                one, two = _spots(shingle_set(x.as_py(), ngram))
+                np.add.at(total, one, 1)
+                np.add.at(total, two + COUNTERS, 1)
+        some = np.flatnonzero(total)
+        for k in range(0, len(some), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(some[k : k + 100_000]), pa.array(total[some[k : k + 100_000]])], names=["spot", "k"])
+
+    found = pool.mapInArrow(count, "spot long, k long").groupBy("spot").agg(F.sum("k").alias("k")).where("k > 1").toArrow()
+    table = np.ones(2 * COUNTERS, dtype=np.int32)
+    table[found.column(0).to_numpy()] = np.minimum(found.column(1).to_numpy(), 2**31 - 1)
+    counts = pool.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                keys, owners, sizes, places = [], [], [], []
+                for c, x in zip(batch.column(0)[k : k + 64].to_pylist(), batch.column(1)[k : k + 64], strict=True):
+                    found = shingle_set(x.as_py(), ngram)
+                    n = len(found)
+                    one, two = _spots(found)
+                    often = np.minimum(counts.value[one], counts.value[two + COUNTERS])
+                    first = found[np.lexsort((found, often))[: n - math.ceil(similarity * n) + 1]]
+                    keys.append(first.view(np.int64))
+                    owners.append(np.full(len(first), c, dtype=np.int64))
+                    sizes.append(np.full(len(first), n, dtype=np.int64))
+                    places.append(np.arange(len(first), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (keys, owners, sizes, places)], names=["key", "c", "n", "at"])
+
+    return materialize(pool.mapInArrow(run, "key long, c long, n long, at long"), "prefixes")
+
+
+def text_groups(docs: DataFrame, ngram: int = NGRAM, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, c, t) of every row, c the content key of its text and t the hash of the text as it is; and
+    (c, root, group_id): texts that resemble each other, directly or over others, share a root and the smallest id of
+    them all.
+
+    Texts with equal shingles are one from the start. At first every text is compared with one other: the smallest that
+    it shares a band with, which settles most groups. The texts of bands that still hold several groups go on: their
+    rare shingles make buckets, so that texts meet by what is particular to them and not by what all copies share, and
+    the places of a shared shingle bound the resemblance before anything is compared. In every round, each bucket
+    names leads, four times as many as in the last one and first those that have company, and every member of another
     group is compared with them. Then leads leave the bucket, as they have been compared with all members; the
     others stay, linked or not. A bucket ends when what is left of it is one group, so no unlinked pair stays
     undecided, and the work is linear where a bucket holds one group. Pairs whose estimate is far below ``similarity``
@@ -236,9 +307,9 @@ def text_groups(docs: DataFrame, ngram: int = NGRAM, similarity: float = SIMILAR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), ngram) for t in batch.column(1)]
+            sets = [shingle_set(t.as_py(), ngram) for t in batch.column(2)]
             found = [sketch(x) for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(content_key, sets), pa.int64()), pa.array([b for b, _ in found], pa.list_(pa.int64())), pa.array([m for _, m in found], pa.binary())], names=["doc_id", "c", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(map(content_key, sets), pa.int64()), pa.array([b for b, _ in found], pa.list_(pa.int64())), pa.array([m for _, m in found], pa.binary())], names=["doc_id", "t", "c", "bands", "sig"])
 
     least = similarity - (SIMILARITY - ESTIMATE)
 
@@ -247,49 +318,93 @@ def text_groups(docs: DataFrame, ngram: int = NGRAM, similarity: float = SIMILAR
             same = _resemblance(batch.column(2).to_pylist(), batch.column(3).to_pylist()) >= least if batch.num_rows else np.zeros(0, dtype=bool)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(same, pa.bool_())], names=["a", "b", "same"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    all_docs = materialize(rows.mapInArrow(run, "doc_id long, c long, bands array<long>, sig binary"), "sketches")
+    rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("t"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    all_docs = materialize(rows.mapInArrow(run, "doc_id long, t long, c long, bands array<long>, sig binary"), "sketches")
     texts = materialize(all_docs.groupBy("c").agg(F.min("doc_id").alias("first_id"), F.min("sig").alias("sig"), F.min("bands").alias("bands")), "texts")
+    rows = materialize(all_docs.select("doc_id", "c", "t"), "rows")
+    release(all_docs)
     members = texts.select("c", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("key").alias("skey")).hint("merge")
-    members = materialize(members.join(shared, F.col("key") == F.col("skey")).select("key", "c", F.col("c").alias("root"), F.lit(True).alias("alone")), "members")
+    shared = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("key").alias("skey"), "lo").hint("merge")
+    members = materialize(members.join(shared, F.col("key") == F.col("skey")).select("key", "c", "lo"), "members")
     signatures = texts.select(F.col("c").alias("sc"), "sig")
-    edges = roots = decided = None
-    wanted = 1
-    while members.limit(1).count():
-        # part by part, so that the leads of a large bucket are not looked for in one task
-        part = F.pmod("c", F.lit(wanted)).alias("part")
-        leads = members.groupBy("key", part).agg(F.min(F.struct("alone", "c", "root")).alias("x"))
-        leads = materialize(leads.select(F.col("key").alias("lkey"), F.col("x.c").alias("lead"), F.col("x.root").alias("lead_root")), "leads")
-        pairs = members.join(leads.hint("merge"), F.col("key") == F.col("lkey")).where("root != lead_root")
-        pairs = pairs.select(F.least("c", "lead").alias("a"), F.greatest("c", "lead").alias("b")).distinct()
-        if decided is not None:
-            pairs = pairs.join(decided.select(F.col("a").alias("da"), F.col("b").alias("db")).hint("merge"), (F.col("a") == F.col("da")) & (F.col("b") == F.col("db")), "left_anti")
+    decided: list[DataFrame] = []
+    roots = pool = None
+
+    def decide(pairs: DataFrame) -> None:
+        """Compares the pairs (a, b) that no round has compared, and joins the groups of those that resemble each other."""
+        nonlocal roots
+        for old in decided:
+            pairs = pairs.join(old.select(F.col("a").alias("da"), F.col("b").alias("db")).hint("merge"), (F.col("a") == F.col("da")) & (F.col("b") == F.col("db")), "left_anti")
         pairs = pairs.join(signatures.hint("merge"), F.col("b") == F.col("sc")).select("a", "b", F.col("sig").alias("sig1"))
         pairs = pairs.join(signatures.hint("merge"), F.col("a") == F.col("sc")).select("a", "b", "sig1", "sig")
         judged = materialize(pairs.mapInArrow(judge, "a long, b long, same boolean"), "judged")
         near = judged.where("same").select("a", "b")
-        verified = _verified(docs, near, ngram, similarity) if near.limit(1).count() else near.withColumn("same", F.lit(True))
-        judged = judged.where("not same").unionByName(verified)
-        decided = judged if decided is None else decided.unionByName(judged)
-        edges = decided.where("same").select("a", "b")
+        if near.limit(1).count():
+            texts = pool if pool is not None else _texts_of(docs, near.select(F.explode(F.array("a", "b")).alias("need")).distinct(), ngram)
+            verified = _verified(texts, near, ngram, similarity)
+            new = materialize(judged.where("not same").unionByName(verified), "decided")
+            release(judged, verified, texts if pool is None else None)
+            judged = new
+        decided.append(judged)
+        edges = judged.where("same").select("a", "b")
+        if roots is not None:
+            edges = edges.unionByName(roots.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")))
+        new = materialize(connected(edges), "roots")
         release(roots)
-        roots = materialize(connected(edges), "roots")
-        done = leads.select("lkey", "lead").hint("merge")
-        left = members.join(done, (F.col("key") == F.col("lkey")) & (F.col("c") == F.col("lead")), "left_anti").select("key", "c")
-        left = left.join(roots.hint("merge"), F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("root", "c").alias("root"), F.col("root").isNull().alias("alone"))
-        left = materialize(left, "left")
+        roots = new
+
+    def open_buckets(left: DataFrame) -> DataFrame:
+        """The members (key, c, and what else there is) with their groups, of buckets that hold several groups."""
+        more = [x for x in left.columns if x in ("n", "at")]
+        left = left.join(roots.hint("merge"), F.col("c") == F.col("node"), "left")
+        left = materialize(left.select("key", "c", F.coalesce("root", "c").alias("root"), F.col("root").isNull().alias("alone"), *more), "left")
         mixed = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.col("key").alias("mkey")).hint("merge")
-        new = materialize(left.join(mixed, F.col("key") == F.col("mkey")).select("key", "c", "root", "alone"), "members")
-        release(members, leads, left)
+        new = materialize(left.join(mixed, F.col("key") == F.col("mkey")).select("key", "c", "root", "alone", *more), "members")
+        release(left)
+        return new
+
+    if members.limit(1).count():
+        decide(members.groupBy("c").agg(F.min("lo").alias("a")).where("a < c").select("a", F.col("c").alias("b")))
+        new = open_buckets(members.select("key", "c"))
+        release(members)
+        members = new
+        pool = _texts_of(docs, members.select(F.col("c").alias("need")).distinct(), ngram)
+        release(members)
+        prefixes = _prefixes(pool, ngram, similarity)
+        members = open_buckets(prefixes)
+        release(prefixes)
+        collect_garbage(docs.sparkSession)
+    wanted = 1
+    while members.limit(1).count():
+        # part by part, so that the leads of a large bucket are not looked for in one task
+        part = F.pmod("c", F.lit(wanted)).alias("part")
+        leads = members.groupBy("key", part).agg(F.min(F.struct("alone", "c", "root", "n", "at")).alias("x"))
+        leads = materialize(leads.select(F.col("key").alias("lkey"), F.col("x.c").alias("lead"), F.col("x.root").alias("lead_root"), F.col("x.n").alias("lead_n"), F.col("x.at").alias("lead_at")), "leads")
+        # the first shingle that both have leaves this much to share
+        most = F.least(F.col("n") - F.col("at"), F.col("lead_n") - F.col("lead_at"))
+        enough = most * (1 + similarity) >= similarity * (F.col("n") + F.col("lead_n")) - 1e-6
+        pairs = members.join(leads.hint("merge"), (F.col("key") == F.col("lkey")) & (F.col("root") != F.col("lead_root")) & enough)
+        decide(pairs.select(F.least("c", "lead").alias("a"), F.greatest("c", "lead").alias("b")).distinct())
+        done = leads.select("lkey", "lead").hint("merge")
+        new = open_buckets(members.join(done, (F.col("key") == F.col("lkey")) & (F.col("c") == F.col("lead")), "left_anti").select("key", "c", "n", "at"))
+        release(leads, members)
         members, wanted = new, wanted * 4
-    release(members)
+        collect_garbage(docs.sparkSession)
+    release(pool)
+    release(members, *decided)
     plain = texts.select("c", "first_id", F.col("c").alias("root"))
     if roots is not None:
         plain = texts.select("c", "first_id").join(roots, F.col("c") == F.col("node"), "left").select("c", "first_id", F.coalesce("root", "c").alias("root"))
     plain = materialize(plain, "placed")
     names = plain.groupBy("root").agg(F.min("first_id").alias("group_id")).withColumnRenamed("root", "r").hint("merge")
-    return all_docs.select("doc_id", "c"), materialize(plain.join(names, F.col("root") == F.col("r")).select("c", "root", "group_id"), "groups")
+    groups = materialize(plain.join(names, F.col("root") == F.col("r")).select("c", "root", "group_id"), "groups")
+    release(plain, roots, texts)
+    return rows, groups
+
+
+def text_key() -> Column:
+    """The hash of the text column; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def near_duplicates(docs: DataFrame, ngram: int = NGRAM, similarity: float = SIMILARITY) -> DataFrame:
@@ -302,22 +417,19 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, similarity: float = SIM
 
 def deduplicate(docs: DataFrame, ngram: int = NGRAM, similarity: float = SIMILARITY) -> DataFrame:
     """The documents, with their columns, of which one of each group of texts stays: that with the smallest id, and
-    of texts that share this id the one with the smallest key. Null ids come last. Rows that repeat an id and a text
-    are one."""
+    of texts that share this id the one with the smallest keys. Null ids come last. Rows that repeat an id and a text
+    are one; where no row does, the step that removes them is left out, as it would change nothing."""
     rows, groups = text_groups(docs, ngram, similarity)
-    each = rows.groupBy("doc_id", "c").agg(F.count("*").alias("n"))
-    each = materialize(each.join(groups.withColumnRenamed("c", "pc").hint("merge"), F.col("c") == F.col("pc")).select("doc_id", "c", "n", "root"), "near")
-    best = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "c")).alias("best"))
+    each = rows.groupBy("doc_id", "c", "t").agg(F.count("*").alias("n"))
+    each = materialize(each.join(groups.withColumnRenamed("c", "pc").hint("merge"), F.col("c") == F.col("pc")).select("doc_id", "c", "t", "n", "root"), "near")
+    release(rows, groups)
+    best = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "c", "t")).alias("best"))
     best = best.select(F.col("root").alias("r"), "best").hint("merge")
-    lost = ~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("c") == F.col("best.c")))
+    lost = ~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("t") == F.col("best.t")))
     # what goes grows with the input, so it is never broadcast
-    gone = materialize(each.join(best, F.col("root") == F.col("r")).where(lost).select(F.col("doc_id").alias("gone_id"), F.col("c").alias("gone_c")), "gone").hint("merge")
+    gone = materialize(each.join(best, F.col("root") == F.col("r")).where(lost).select(F.col("doc_id").alias("gone_id"), F.col("t").alias("gone_t")), "gone").hint("merge")
     repeated = each.where("n > 1").limit(1).count() > 0
-
-    @F.pandas_udf("long")
-    def key(texts: pd.Series) -> pd.Series:
-        return pd.Series([content_key(shingle_set(bytes(t), ngram)) for t in texts], dtype="int64")
-
-    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), key(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("c"))
-    kept = kept.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("c") == F.col("gone_c")), "left_anti")
-    return (kept.dropDuplicates(["id", "c"]) if repeated else kept).select("row.*")
+    release(each)
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), text_key().alias("t"))
+    kept = kept.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("t") == F.col("gone_t")), "left_anti")
+    return (kept.dropDuplicates(["id", "t"]) if repeated else kept).select("row.*")
