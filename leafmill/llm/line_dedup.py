@@ -2,7 +2,8 @@
 
 A HyperLogLog sketch of the sites is kept for each line's hash and merged by the aggregation. Lines whose
 estimate is near the threshold get an exact count of distinct sites; the estimate decides the others. Of a
-boilerplate line the document with the smallest id keeps its occurrences, and all others lose theirs.
+boilerplate line the document with the smallest id keeps its occurrences, and all others lose theirs. Hashes of lines,
+not lines, are counted; texts are shuffled once, to meet the hashes that they lose, whatever their number.
 
 Null texts have no lines and stay null; blank lines are never boilerplate. A null source is a site of its own.
 Rows that repeat an id count as one document. Documents that lose all lines stay, with an empty text.
@@ -10,7 +11,7 @@ Rows that repeat an id count as one document. Documents that lose all lines stay
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._io import materialize, release
@@ -21,11 +22,16 @@ LG_K = 12
 BAND = 0.15
 
 
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def lines_of(docs: DataFrame, site: str = "source") -> DataFrame:
-    """id, site and line hash (h), once for each document and line."""
+    """id, text hash (t), site and line hash (h), once for each document and line. A null site differs from all others."""
     lines = F.filter(F.array_distinct(F.split("text", "\n")), lambda x: F.trim(x) != "")
-    rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.transform(lines, lambda x: F.xxhash64(x)).alias("hs"))
-    return rows.select("id", "site", F.explode("hs").alias("h"))
+    named = F.coalesce(F.concat(F.lit("="), F.col(site).cast("string")), F.lit(""))
+    rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), _text_hash(F.col("text")).alias("t"), named.alias("site"), F.transform(lines, lambda x: F.xxhash64(x)).alias("hs"))
+    return rows.select("id", "t", "site", F.explode("hs").alias("h"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -46,37 +52,24 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return out
 
 
-#: Up to so many boilerplate lines, their hashes go into the plan and texts aren't shuffled; beyond, documents are
-#: joined with the hashes that they lose.
-MAX_IN_PLAN = 20_000
-
-
 def removals(lines: DataFrame, bad: DataFrame) -> DataFrame:
-    """lost_id and the hashes of the lines that the document loses."""
+    """lost_id, lost_t and the hashes of the lines that the text loses, for each id and text that loses any."""
     bad = bad.select(F.col("h").alias("bh"), "keep_id")
     hit = lines.join(bad, F.col("h") == F.col("bh")).where(~F.col("id").eqNullSafe(F.col("keep_id")))
-    return materialize(hit.groupBy(F.col("id").alias("lost_id")).agg(F.collect_set("h").alias("lost")), "lost")
+    return materialize(hit.groupBy(F.col("id").alias("lost_id"), F.col("t").alias("lost_t")).agg(F.collect_set("h").alias("lost")), "lost")
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", in_plan: int = MAX_IN_PLAN) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
     """The documents with their columns; boilerplate lines are gone from the texts (``n_chars``, if there, follows)."""
     lines = materialize(lines_of(docs, site), "lines")
     bad = boilerplate(lines, min_sites)
+    # what texts lose grows with the input, so it is joined by a merge at every size
+    lost = removals(lines, bad).hint("merge")
+    release(lines, bad)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    found = bad.limit(in_plan + 1).collect() if in_plan else []
-    if in_plan and len(found) <= in_plan:
-        # few documents keep lines of these: at most one for each
-        kept = F.broadcast(bad.groupBy("keep_id").agg(F.collect_set("h").alias("kept")))
-        joined = rows.join(kept, F.col("row.doc_id").eqNullSafe(F.col("keep_id")), "left")
-        known = ", ".join(f"{r['h']}L" if r["h"] > -(2**63) else "-9223372036854775808L" for r in found) or "null"
-        mine = "coalesce(array_contains(kept, xxhash64(x)), false)"
-        text = F.expr(f"array_join(filter(split(row.text, '\n'), x -> trim(x) = '' or not coalesce(xxhash64(x) in ({known}), false) or {mine}), '\n')")
-        release(lines)
-    else:
-        lost = removals(lines, bad)
-        joined = rows.join(lost, F.col("row.doc_id").eqNullSafe(F.col("lost_id")), "left")
-        left = F.array_join(F.filter(F.split("row.text", "\n"), lambda x: ~F.array_contains(F.col("lost"), F.xxhash64(x)) | (F.trim(x) == "")), "\n")
-        text = F.when(F.col("lost").isNull(), F.col("row.text")).otherwise(left)
+    joined = rows.join(lost, F.col("row.doc_id").eqNullSafe(F.col("lost_id")) & (_text_hash(F.col("row.text")) == F.col("lost_t")), "left")
+    left = F.array_join(F.filter(F.split("row.text", "\n"), lambda x: ~F.array_contains(F.col("lost"), F.xxhash64(x)) | (F.trim(x) == "")), "\n")
+    text = F.when(F.col("lost").isNull(), F.col("row.text")).otherwise(left)
     out = joined.select("row", text.alias("new"))
     if "n_chars" not in docs.columns:
         return out.select(*[F.col("new").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
@@ -93,7 +86,7 @@ def report(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 CLEAN_SQL = """
-  l AS (SELECT doc_id, coalesce(source, '') AS site, r, pos, line FROM (
+  l AS (SELECT doc_id, coalesce('=' || source, '') AS site, r, pos, line FROM (
           SELECT doc_id, source, r, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line
           FROM (SELECT doc_id, source, row_number() OVER () AS r, string_split(text, chr(10)) AS ls FROM {table}))),
   bad AS (SELECT line, min(doc_id) AS keep_id FROM l WHERE trim(line) <> '' GROUP BY line HAVING count(DISTINCT site) >= 10),
