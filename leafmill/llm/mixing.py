@@ -6,7 +6,8 @@ hash of its id, seeded, falls below the fraction.
 
 Nulls: a null text has size 0, a null source is a source of its own and comes last, a null id hashes as empty
 text. Rows that repeat an id draw alike. A source without words has target 0 and its documents are not taken.
-An empty table mixes to an empty result.
+An empty table mixes to an empty result. The targets need all sources in order: the rows of a table with one row a
+source are sorted in one task, on disk if need be; documents never are.
 """
 
 from __future__ import annotations
@@ -50,7 +51,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     )
     # twice what is left for this source and those after it: 2 * (1.5 * total - 2 * sizes before)
     left = 3 * F.col("total") - 4 * F.col("before_size")
-    capped = left * F.col("w") >= 4 * F.col("source_size") * F.col("open_w")
+    # as decimals, since products of sizes and weights of very many sources exceed a long
+    big = lambda c, n: c.cast(f"decimal({n},0)")
+    capped = big(left, 20) * big(F.col("w"), 14) >= big(4 * F.col("source_size"), 20) * big(F.col("open_w"), 14)
     per = per.withColumn("left", left).withColumn("capped", capped)
     first = Window.partitionBy()
     open_k = F.min(F.when(~F.col("capped"), F.col("k"))).over(first)
@@ -58,7 +61,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     level = F.max(F.when(F.col("k") == F.col("open_k"), F.struct("left", "open_w"))).over(first)
     per = per.withColumn("level", level)
     target = F.when(F.col("open_k").isNull() | (F.col("k") < F.col("open_k")), 2.0 * F.col("source_size")).otherwise(
-        (F.col("level.left") * F.col("w")).cast("double") / (2 * F.col("level.open_w")).cast("double")
+        (big(F.col("level.left"), 20) * big(F.col("w"), 14)).cast("double") / (2 * F.col("level.open_w")).cast("double")
     )
     return per.select("source", "source_size", target.alias("target"))
 
@@ -90,7 +93,8 @@ def mix_report(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with ``copy`` counting from 1."""
+    """The documents of the mix, each as often as it is taken, with ``copy`` counting from 1 (``mix_copy`` and so on
+    where a column has this name)."""
     sizes = materialize(docs.select("source", word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("size")), "sizes")
     rates = materialize(_with_rates(sizes, weights).select(F.col("source").alias("rate_source"), "source_size", "target"), "mix-rates")
     small = rates.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES
@@ -98,7 +102,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     out = rows.join(F.broadcast(rates) if small else rates, F.col("row.source").eqNullSafe(F.col("rate_source")))
     times = copies(F.col("row.doc_id"), F.col("target"), F.col("source_size")).cast("int")
     out = out.select("row", times.alias("times")).where("times > 0")
-    name = "copy" if "copy" not in docs.columns else "mix_copy"
+    name = "copy"
+    while name in docs.columns:
+        name = f"mix_{name}"
     return out.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("at")).select("row.*", F.col("at").alias(name))
 
 
