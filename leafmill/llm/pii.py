@@ -1,14 +1,16 @@
 """Personal data: base patterns, and information-theoretic sanitisation of what stands near them, in DataFrame
 operations only.
 
-Base spans are e-mail and IP addresses, card and phone numbers. A term that stands by itself within ``REACH``
-characters of an entity (a base span's value), in the same line, co-occurs with it. With n(e, t) co-occurrences,
-N(t) and n(e) occurrences in the corpus and T terms in all, the term reveals PMI = log2(n(e, t) / N(t)) + IC(e)
-bits of the IC(e) = -log2(n(e) / T) that identify the entity. Terms that reveal at least ``SHARE`` of these bits,
-in at least ``SUPPORT`` different contexts, become spans of kind "term" near the entity.
-
-Null and empty texts have no spans. Equal rows are judged alike; rows that repeat an id with another text are
-judged by their own text.
+Base spans are e-mail and IP addresses, card and phone numbers. A term that stands by itself in the sentence of an entity
+(a base span's value) co-occurs with it. Of N(t) occurrences of a term in the corpus n(e, t) are with the entity, in
+d(e, t) different sentences; so the chance that the term points at the entity is estimated as n / N * d / (d + 1), which
+shrinks what little evidence says. It reveals log2(chance) + IC(e) of the IC(e) = -log2(n(e) / T) bits that identify the
+entity among T terms (the smoothed pointwise mutual information). Terms that reveal at least ``SHARE`` of these bits
+become spans of kind "term", wherever they stand in a text that has them in the entity's sentence. Every pair of an
+entity and a term in its sentence is judged; entities seen once, too, have their rare neighbours.
+
+Null and empty texts have no spans; texts without base spans have none. Equal rows are judged alike; rows that repeat
+an id with another text are judged by their own text. Sentences are looked at up to ``REACH`` characters to each side.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._io import materialize
+from ._io import materialize, release
 
 KINDS = ("email", "ip", "card", "phone")
 #: Leftmost matches start where a run of their first characters does, or where the last match ended; possessive
@@ -29,7 +31,7 @@ PATTERNS = {
 }
 #: Texts that fail these have no valid match.
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"(?:[0-9][ -]?){15}[0-9]", "phone": r"\+[0-9]"}
-REACH, SHARE, SUPPORT = 64, 0.95, 3
+REACH, SHARE = 256, 0.9
 TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{3,}+(?![\p{N}@_%+-]|\.[\p{L}\p{N}])"
 _BLOCK = 256
 
@@ -74,59 +76,70 @@ def _listed(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda x: F.concat_ws(":", F.lit(kind), x["s"].cast("string"), x["e"].cast("string")))
 
 
+#: Where sentences end: a full stop, question or exclamation mark before a blank, and a line's end.
+_SENTENCE_END = r"[.!?](?=\\s)|\\n"
+
+
 def _contexts() -> Column:
-    """Of every base span its kind, place, value, and the text around it in its line with that text's start."""
+    """Of every base span its value and the text around it, up to REACH characters to each side."""
     parts = []
     for kind in KINDS:
-        parts.append(f"""transform({kind}, x -> named_struct('entity', concat('{kind}:', lower(x.v)), 's', x.s, 'e', x.e,
-          'left_at', greatest(x.s - {REACH}, 0), 'before', substring(text, greatest(x.s - {REACH}, 0) + 1, least(x.s, {REACH})), 'after', substring(text, x.e + 1, {REACH})))""")
-    # words that the window cuts, and other lines, are blanked at equal length: the left part keeps its end, the right its start
+        parts.append(f"""transform({kind}, x -> named_struct('entity', concat('{kind}:', lower(x.v)), 'cut', x.s > {REACH},
+          'before', substring(text, greatest(x.s - {REACH}, 0) + 1, least(x.s, {REACH})), 'after', substring(text, x.e + 1, {REACH})))""")
     return F.expr(f"concat({', '.join(parts)})")
 
 
 def found_in(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, text hash, base spans by kind, and contexts; a table in the shared folder."""
+    """Per row: doc_id, text hash, base spans by kind, and, if there are any, contexts and the text; a table in the
+    shared folder."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", *(base_spans(k).alias(k) for k in KINDS))
-    return materialize(rows.select("doc_id", F.xxhash64("text").alias("h"), *KINDS, _contexts().alias("contexts")), "spans")
+    some = F.expr(" + ".join(f"size({k})" for k in KINDS)) > 0
+    return materialize(rows.select("doc_id", F.xxhash64("text").alias("h"), *KINDS, _contexts().alias("contexts"), F.when(some, F.col("text")).alias("held")), "spans")
 
 
-def disclosing(docs: DataFrame, contexts: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
-    """entity and its disclosing terms. ``contexts``: entity, around, terms; one row for each base span."""
-    entities = contexts.groupBy("entity").agg(F.count("*").alias("ne"))
-    exploded = contexts.select("entity", F.xxhash64("around").alias("around"), F.explode("terms").alias("term"))
-    # copies of a context meet here first, before different contexts are counted
-    pairs = exploded.groupBy("entity", "term", "around").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("different"), F.sum("n").alias("net"))
-    pairs = materialize(pairs.where(F.col("different") >= support), "pairs")
+def pairs_of(found: DataFrame) -> DataFrame:
+    """doc_id, h, entity, the hash of its sentence (around) and a term in it, for each base span and term."""
+    flat = found.select("doc_id", "h", F.explode("contexts").alias("c")).select("doc_id", "h", "c.*")
+    # a word that the window cuts is no term
+    before = f"element_at(split(before, '{_SENTENCE_END}'), -1)"
+    before = f"case when cut and size(split(before, '{_SENTENCE_END}')) = 1 then regexp_replace({before}, '^\\\\S*', '') else {before} end"
+    after = f"element_at(split(after, '{_SENTENCE_END}'), 1)"
+    after = f"case when length(after) = {REACH} and size(split(after, '{_SENTENCE_END}')) = 1 then regexp_replace({after}, '\\\\S*$', '') else {after} end"
+    flat = flat.select("doc_id", "h", "entity", F.lower(F.concat(F.expr(before), F.lit(" \n "), F.expr(after))).alias("around"))
+    terms = F.expr(f"array_distinct(regexp_extract_all(around, {_quoted(TERM)}, 0))")
+    return materialize(flat.select("doc_id", "h", "entity", F.xxhash64("around").alias("around"), F.explode(terms).alias("term")), "pairs")
+
+
+def disclosing(docs: DataFrame, found: DataFrame, pairs: DataFrame, share: float = SHARE) -> DataFrame:
+    """(entity, term) of the terms that disclose an entity."""
+    entities = found.select(F.explode("contexts.entity").alias("e2")).groupBy("e2").agg(F.count("*").alias("ne"))
+    # copies of a sentence meet here first, before different sentences are counted
+    counted = pairs.groupBy("entity", "term", "around").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("different"), F.sum("n").alias("net"))
     words = docs.select(F.explode(F.expr(f"regexp_extract_all(lower(text), {_quoted(TERM)}, 0)")).alias("word")).groupBy("word").agg(F.count("*").alias("nt"))
     words = materialize(words, "words")
     total = words.agg(F.sum("nt")).first()[0] or 0
-    joined = pairs.join(words, F.col("term") == F.col("word")).join(entities.withColumnRenamed("entity", "e2"), F.col("entity") == F.col("e2"))
-    bits = -F.log2(F.col("ne") / F.lit(float(max(total, 1))))
-    pmi = F.log2(F.least(F.col("net") / F.col("nt"), F.lit(1.0))) + bits
-    return joined.where((bits > 0) & (pmi >= share * bits)).groupBy("entity").agg(F.collect_set("term").alias("revealing"))
+    joined = counted.join(words, F.col("term") == F.col("word")).join(entities, F.col("entity") == F.col("e2"))
+    bits = -F.log2(F.least(F.col("ne") / F.lit(float(max(total, 1))), F.lit(1.0)))
+    chance = F.least(F.col("net") / F.col("nt"), F.lit(1.0)) * F.col("different") / (F.col("different") + 1)
+    out = materialize(joined.where((bits > 0) & (F.log2(chance) + bits >= share * bits)).select(F.col("entity").alias("de"), F.col("term").alias("dt")), "disclosing")
+    release(words)
+    return out
 
 
 def spans_by_row(docs: DataFrame) -> DataFrame:
     """doc_id, text hash (h) and the spans of each kind, "term" included, of every row."""
     found = found_in(docs)
-    flat = found.select("doc_id", "h", F.explode("contexts").alias("c")).select("doc_id", "h", "c.*")
-    before = F.expr("""regexp_replace(regexp_extract(before, '[^\\n]*$', 0), case when left_at > 0 and before not like '%\\n%' then '^[^ ]*' else '^$' end, '')""")
-    after = F.expr(f"""regexp_replace(regexp_extract(after, '^[^\\n]*', 0), case when length(after) = {REACH} and after not like '%\\n%' then '[^ ]*$' else '^$' end, '')""")
-    flat = flat.withColumn("before", before).withColumn("after", after)
-    around = F.concat("before", F.lit("\n"), "after")
-    terms = F.expr(f"array_distinct(regexp_extract_all(lower(concat(before, '\\n', after)), {_quoted(TERM)}, 0))")
-    contexts = materialize(flat.select("doc_id", "h", "entity", "s", "e", "before", "after", around.alias("around"), terms.alias("terms")), "contexts")
+    pairs = pairs_of(found)
     text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    revealing = disclosing(text, contexts).withColumnRenamed("entity", "e2")
-    near = contexts.join(revealing, F.col("entity") == F.col("e2")).select("doc_id", "h", "s", "e", "before", "after", F.array_intersect("terms", "revealing").alias("found"))
-    near = near.where(F.size("found") > 0).withColumn("pattern", F.expr(r"concat('(?iu)(?<![\\p{L}\\p{N}@._%+-])(?:', array_join(found, '|'), ')(?![\\p{L}\\p{N}@_%+-])')"))
-    left = F.expr(f"transform({_located('before', 'pattern')}, x -> struct(s - length(before) + x.s as s, s - length(before) + x.e as e))")
-    right = F.expr(f"transform({_located('after', 'pattern')}, x -> struct(e + x.s as s, e + x.e as e))")
-    extra = near.select("doc_id", "h", F.explode(F.concat(left, right)).alias("x")).groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("x")).alias("term"))
-    extra = extra.select(F.col("doc_id").alias("xid"), F.col("h").alias("xh"), "term")
-    out = found.drop("contexts").join(extra, F.col("doc_id").eqNullSafe(F.col("xid")) & (F.col("h") == F.col("xh")), "left")
-    return out.select("doc_id", "h", *KINDS, F.coalesce("term", F.expr("cast(array() as array<struct<s: int, e: int>>)")).alias("term"))
+    terms = pairs.join(disclosing(text, found, pairs), (F.col("entity") == F.col("de")) & (F.col("term") == F.col("dt")))
+    # as many as a text has words at most
+    terms = materialize(terms.groupBy(F.col("doc_id").alias("xid"), F.col("h").alias("xh")).agg(F.collect_set("term").alias("terms")), "terms")
+    release(pairs)
+    out = found.join(terms, F.col("doc_id").eqNullSafe(F.col("xid")) & (F.col("h") == F.col("xh")), "left")
+    located = f"transform(filter({_located('held', _quoted(TERM))}, x -> array_contains(terms, lower(x.v))), x -> named_struct('s', x.s, 'e', x.e))"
+    term = F.expr(f"case when terms is null then cast(array() as array<struct<s: int, e: int>>) else {located} end")
+    return out.select("doc_id", "h", *KINDS, term.alias("term"))
 
 
 def spans_report(docs: DataFrame) -> DataFrame:

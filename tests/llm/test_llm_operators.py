@@ -62,6 +62,7 @@ def test_odd_rows_and_empty_tables(spark, odd):
         assert f(none).count() == 0
     assert mixing.mix(odd).columns == [*odd.columns, "mix_copy"]
     assert mixing.mix(none).count() == 0
+    assert mixing.mix(odd.withColumn("mix_copy", F.lit(1))).columns[-1] == "mix_mix_copy"
     assert line_dedup.dedup_lines(odd).count() == odd.count()
     kept = [r["doc_id"] for r in simhash.deduplicate(odd).collect()]
     assert kept.count(5) == 1 and 6 not in kept
@@ -157,6 +158,38 @@ def test_url_rules_and_model(spark):
     assert sum((r["s"] >= 0.5) == (r["y"] == 1) for r in scored) == len(labelled)
 
 
+def test_url_parts_and_rules_by_brute_force(spark):
+    rng = random.Random(5)
+    hosts = ["example.net", "A.Example.NET", "net", "org", "x.org", "notorg", "example.com", "www.example.com", "fooexample.net", "example.net.", "", "ä.net", "a.b.c.net"]
+    paths = ["", "/", "/en/", "/EN/", "/en", "/fr/1", "/de/x?y", "#/fr/", "?/fr/", "/fr/a://b", "/en/a#b?c"]
+    urls = [rng.choice(["http://", "ftp://", "//", "", "x://y://"]) + rng.choice(hosts) + rng.choice(paths) for _ in range(400)] + [None, "", "://", "a://b"]
+    for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")).collect():
+        url = urls[r["page_id"]] or ""
+        rest = url.split("://", 1)[1] if "://" in url else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [(h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule, verdict = max(fits, key=lambda x: len(x[0]), default=(None, None))
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
+        assert r["verdict"] == (verdict or ("block" if r["score"] >= 0.5 else "allow"))
+
+
+def test_url_model_on_sites_it_was_not_trained_on(spark):
+    """Held-out names, and the score of the SQL expression against the weights by hand."""
+    bad = "viagra-online.example.com lottery-prize.com www.pokerstars-win.com payday-loans.org cheapest-replica-watches.com free-adult-cams.info bestbets.example.net casino-royal.example.org".split()
+    good = "gitlab.com/inkscape/inkscape en.wikipedia.org/wiki/Casino realpython.com/python-strings www.cancer.gov/about www.gutenberg.org/ebooks/1342 www.smithsonianmag.com/history/poker-face docs.oracle.com/javase www.washingtonpost.com/politics".split()
+    known = {u.split("://")[1].split("/")[0].removeprefix("www.") for u, _ in url_filter.labelled_urls()}
+    assert not known & {u.split("/")[0].removeprefix("www.") for u in bad + good if not u.startswith("en.")}
+    weights = url_filter.train(spark)
+    urls = [f"https://{u}/en/12" if "/" not in u else f"https://{u}" for u in bad + good]
+    rows = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string"), rules=(), weights=weights).orderBy("page_id").collect()
+    assert [r["verdict"] for r in rows] == ["block"] * len(bad) + ["allow"] * len(good)
+    one = spark.createDataFrame([(r["host"], r["path"], r["score"]) for r in rows], "host string, path string, score double")
+    for r in one.select("score", url_filter.features(F.col("host"), F.col("path")).alias("x")).collect():
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-sum(weights[b] for b in set(r["x"])) - weights[-1])), abs=1e-5)
+
+
 def test_covering_masks_cover():
     masks = [m % 2**64 for m in simhash.covering_masks(2)]
     assert len(masks) == 7
@@ -323,6 +356,18 @@ def test_html_extraction(spark):
     <form>Name <input></form><div class="ad">Buy now</div><p>Short.</p><script>var a="</p>";</script></article>
     <section id="comments"><p>I think this is great.</p></section><footer>&copy; all</footer></body></html>"""
     assert html_extract.main_text(page, html_extract.train()) == "The head\n\nFirst & best para\xadgraph.\n\none thing\n\nShort."
+    tree = html_extract.train()
+    text = lambda x: html_extract.main_text(x, tree)
+    assert text("<article><p><a>Linked paragraph of main text as a whole sentence</a></p></article>") == "Linked paragraph of main text as a whole sentence"
+    assert text("<article><h1>T</h1><p>Some words here that go on.</p><p>See all the links</p></article>").endswith("See all the links")
+    assert text("<article><p class='notice-text'>This is a text of the article that goes on.</p><p class='search'>We search for meaning in this article.</p></article>").count("article") == 2
+    assert text("<article><p>The main text goes on here and on.</p></article><div>Copyright 2024 acme</div>") == "The main text goes on here and on."
+    body = " ".join(f"word{i}" for i in range(60)) + "."
+    plain = f"<body><div><a href=/>Home</a> <a href=/n>News</a></div><div><h1>A title of it</h1><p>{body}</p><p>{body}</p></div><div class=sidebar><p>{body}</p></div></body>"
+    assert text(plain) == f"A title of it\n\n{body}\n\n{body}"
+    parts = [html_extract.blocks(p) for p in html_extract.labelled_pages()]
+    wrong = sum(int((tree.predict(x) != y).sum()) for _, x, y in parts)
+    assert wrong <= 0.01 * sum(len(y) for _, _, y in parts)
     right = total = 0
     for r, got in zip(table(spark, "pages").orderBy("page_id").collect(), html_extract.extract(table(spark, "pages")).orderBy("page_id").collect(), strict=True):
         article = re.search("<article>(.*)</article>", r["html"], re.S)[1].replace("<br>", " ")
@@ -338,22 +383,89 @@ def test_quality_held_out(spark):
     assert sum(r["predicted"] == r["quality"] for r in rows) / len(rows) > 0.95
 
 
-def test_syncmers(spark):
-    rows = syncmer.compare_with_next(table(spark, "documents")).orderBy(F.col("doc_id").desc()).collect()
-    texts = [r["text"] for r in table(spark, "documents").orderBy(F.col("doc_id").desc()).collect()]
-    for i, r in enumerate(rows):
-        x, y = texts[i], texts[(i + 1) % len(texts)]
-        new = x[: len(x) - len(x) // 2] + y[: len(x) // 2]
-        assert r["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest() and r["n_chars"] == len(x)
-        assert r["near_edited"] == syncmer.likeness(syncmer.fingerprint(x), syncmer.fingerprint(new))
-        assert r["near_next"] == syncmer.likeness(syncmer.fingerprint(x), syncmer.fingerprint(y))
-    assert syncmer.likeness({}, {}) == 1 and syncmer.likeness(syncmer.fingerprint("abc"), {}) == 0
+def brute_anchors(text):
+    """Closed syncmers by their definition, with the hashes computed one by one."""
+    m = 2**64
+
+    def h(part):
+        v = 0
+        for c in part:
+            v = (v * syncmer._BASE + ord(c) + 1) % m
+        v = ((v ^ (v >> 33)) * 0xFF51AFD7ED558CCD) % m
+        return v ^ (v >> 29)
+
+    out = []
+    for i in range(len(text) - syncmer.K + 1):
+        inner = [h(text[i + j : i + j + syncmer.S]) for j in range(syncmer.K - syncmer.S + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append((i, h(text[i : i + syncmer.K]) >> 32))
+    return out
+
+
+def brute_likeness(a, b):
+    """Occurrences of a hash paired in order, and the longest chain by dynamic programming."""
+    if not a or not b:
+        return float(not a and not b)
+
+    def keyed(x):
+        seen, out = collections.Counter(), {}
+        for k, (_, h) in enumerate(x):
+            out[(h, seen[h])] = k
+            seen[h] += 1
+        return out
+
+    ka, kb = keyed(a), keyed(b)
+    pairs = sorted((ka[k], kb[k]) for k in ka.keys() & kb.keys())
+    best = []
+    for i, (_, q) in enumerate(pairs):
+        best.append(1 + max((best[j] for j in range(i) if pairs[j][1] < q), default=0))
+    return max(best, default=0) / (len(a) + len(b) - len(pairs))
+
+
+def test_syncmer_fingerprints_by_definition():
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab c\u00e9\U0001f600") for _ in range(n)) for n in (0, 1, 23, 24, 25, 60, 200)] + ["a" * 90, "abc" * 40, "the quick brown fox jumps over the lazy dog and runs away " * 3]
+    prints = []
+    for t in texts:
+        want = brute_anchors(t)
+        spots, hashes = syncmer.fingerprint(t)
+        if want:
+            assert list(zip(spots.tolist(), hashes.tolist())) == want
+            assert max(np.diff(spots), default=0) <= syncmer.K - syncmer.S
+        else:
+            assert len(spots) == (1 if t else 0)
+        prints.append(list(zip(spots.tolist(), hashes.tolist())))
+        back = [(t2[:4], t2[4:]) for t2 in re.findall(".{12}", syncmer.written((spots, hashes)))]
+        assert np.cumsum([int(d, 16) for d, _ in back]).tolist() == spots.tolist() and [int(x, 16) for _, x in back] == hashes.tolist()
+    for a, x in zip(prints, texts):
+        for b, y in zip(prints, texts):
+            assert syncmer.likeness(syncmer.fingerprint(x), syncmer.fingerprint(y)) == pytest.approx(brute_likeness(a, b))
+    swapped = "one passage that is long enough to hold anchors of its own ", "and another one that holds some of its own, too, as it is long "
+    assert syncmer.likeness(syncmer.fingerprint(swapped[0] + swapped[1]), syncmer.fingerprint(swapped[1] + swapped[0])) < 0.7
     # anchors don't depend on what stands around them
     inner = "the quick brown fox jumps over the lazy dog and runs away"
     a, b = (set(syncmer.anchors(t)[1].tolist()) for t in (inner, "some other words " + inner + " and an end"))
     assert a <= b
 
 
+def test_syncmers(spark, monkeypatch):
+    """Every document with its next, whichever stretches they are in; ids that repeat, null and very large ids."""
+    monkeypatch.setattr(syncmer, "STRETCH_BYTES", 9_000)
+    some = [(r["doc_id"], r["text"]) for r in table(spark, "documents").collect()]
+    some += [(None, f"without an id {k} " * 9) for k in range(40)] + [(7, f"one id for many texts {k} " * 9) for k in range(60)] + [(2**60 + k, f"large {k}") for k in range(5)] + [(-5, None), (-5, "")]
+    same = [(7, "repeated whole row, as often as it is")] * 3
+    rows = syncmer.compare_with_next(spark.createDataFrame(some + same, "doc_id long, text string")).collect()
+    ties = {r["text"]: r["t"] for r in spark.createDataFrame([(t or "",) for _, t in some + same], "text string").select("text", F.xxhash64("text").alias("t")).distinct().collect()}
+    order = sorted(((i is not None, i or 0, ties[t or ""], t or "", i) for i, t in some + same), reverse=True)
+    want = []
+    for k, (_, _, _, x, i) in enumerate(order):
+        y = order[(k + 1) % len(order)][3]
+        new = x[: len(x) - len(x) // 2] + y[: len(x) // 2]
+        p, q, r = (syncmer.fingerprint(t) for t in (x, new, y))
+        want.append((i, len(x), hashlib.sha256(new.encode()).hexdigest(), syncmer.written(p), syncmer.written(q), syncmer.likeness(p, q), syncmer.likeness(p, r)))
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in rows)
+
+
 def test_suffix_automaton_matches_windows():
     rng = random.Random(2)
     for _ in range(60):
@@ -447,19 +559,70 @@ def test_pii_base_spans(spark):
         assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
 
 
-def test_pii_disclosing_terms(spark):
-    """A name that stands by one address again and again, in different lines, reveals it; common words don't."""
+def brute_terms(texts):
+    """Of each text its "term" spans, by the definition in the module's docstring."""
+    import regex
+
+    term, end = regex.compile(pii.TERM), re.compile(r"[.!?](?=[ \t\n\x0b\f\r])|\n")
+    low = lambda t: t.lower()
+    occurrences, entities, sentences = collections.Counter(), collections.Counter(), []
+    for k, text in enumerate(texts):
+        occurrences.update(m[0] for m in term.finditer(low(text)))
+        for span in brute_pii(text):
+            kind, s, e = span.split(":")
+            s, e = int(s), int(e)
+            entity = kind + ":" + low(text[s:e])
+            entities[entity] += 1
+            before, after = text[max(0, s - pii.REACH) : s], text[e : e + pii.REACH]
+            parts = end.split(before)
+            b = re.sub(r"^[^ \t\n\x0b\f\r]*", "", parts[-1]) if s > pii.REACH and len(parts) == 1 else parts[-1]
+            parts = end.split(after)
+            a = re.sub(r"[^ \t\n\x0b\f\r]*$", "", parts[0]) if len(after) == pii.REACH and len(parts) == 1 else parts[0]
+            around = low(b + " \n " + a)
+            sentences.append((k, entity, around, {m[0] for m in term.finditer(around)}))
+    net, different = collections.Counter(), collections.defaultdict(set)
+    for _, entity, around, found in sentences:
+        for t in found:
+            net[entity, t] += 1
+            different[entity, t].add(around)
+    total = sum(occurrences.values())
+    out = [set() for _ in texts]
+    for k, entity, _, found in sentences:
+        bits = -np.log2(min(1, entities[entity] / total))
+        for t in found:
+            d = len(different[entity, t])
+            if bits > 0 and np.log2(min(1, net[entity, t] / occurrences[t]) * d / (d + 1)) + bits >= pii.SHARE * bits:
+                out[k].add(t)
+    return [[(m.start(), m.end()) for m in term.finditer(text) if low(m[0]) in found] for text, found in zip(texts, out)]
+
+
+def test_pii_terms_by_brute_force(spark):
+    """On the test table: terms there are, and just those of the definition; texts without base spans have none."""
+    rows = [(r["doc_id"], r["text"] or "") for r in table(spark, "documents", "/root/testdata/sf0.01").collect()]
+    rows += [(10**6 + k, f"On day {k} Zebulon Quaggle wrote to zeb@corp.example again. Others wrote nothing.\nNobody knows Quaggle.") for k in range(4)] + [(10**7, ""), (10**7, rows[0][1])]
+    want = brute_terms([t for _, t in rows])
+    got = collections.Counter()
+    for r in pii.spans_report(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        spans = [tuple(map(int, s.split(":")[1:])) for s in r["spans"].split(",") if s.startswith("term")]
+        got[r["doc_id"], tuple(spans)] += 1
+        assert not spans or r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"]
+    assert got == collections.Counter((i, tuple(x)) for (i, _), x in zip(rows, want))
+    assert sum(len(x) for x in want[: -6]) > 20
+    assert ["Zebulon", "Quaggle", "Quaggle"] == [rows[-6][1][s:e] for s, e in want[-6] if rows[-6][1][s:e][0] in "ZQ"]
+
+
+def test_pii_sanitize(spark):
     rng = random.Random(8)
     common = "they met and spoke about many things today while others waited outside".split()
     rows = [(i, f"{rng.choice(common)} {rng.choice(common)} Zebulon wrote to zeb@corp.example from {rng.choice(common)} number{i}x") for i in range(12)]
-    rows += [(100 + i, " ".join(rng.choice(common + ["wrote", "from"]) for _ in range(40))) for i in range(60)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    texts = dict(rows)
-    for r in pii.spans_report(docs).collect():
-        terms = {texts[r["doc_id"]][int(s.split(":")[1]) : int(s.split(":")[2])] for s in r["spans"].split(",") if s.startswith("term")}
-        assert terms == ({"Zebulon"} if r["doc_id"] < 100 else set())
-    clean = {r["doc_id"]: r["text"] for r in pii.sanitize(docs).collect()}
-    assert "[TERM] wrote to [EMAIL] from" in clean[0] and clean[100] == texts[100]
+    rows += [(100 + i, " ".join(rng.choice(common + ["wrote", "from"]) for _ in range(40))) for i in range(60)] + [(200, None), (None, ""), (100, rows[0][1]), (100, rows[0][1])]
+    clean = pii.sanitize(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, h string")).collect()
+    texts = collections.defaultdict(list)
+    for r in clean:
+        texts[r["doc_id"]].append(r["text"])
+    assert len(clean) == len(rows) and "[TERM] wrote to [EMAIL] from" in texts[0][0] and texts[101] == [rows[13][1]]
+    assert sum("[TERM] wrote to [EMAIL]" in t for t in texts[100]) == 2 and texts[200] == texts[None] == [""]
+    assert pii.sanitize(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_queries_are_registered():
