@@ -169,6 +169,12 @@ def labelled_pages() -> list[str]:
         out.append(f"<body>{top if i % 3 else menu}{notice}<article>{head}{''.join(body)}</article>{comments}{advert}{foot}{legal}</body>")
         out.append(f"<body>{bare}{notice}{aside}<div class=content>{head}{p(n + 8)}{p(70)}{p(n + 30)}{quote if n > 5 else ''}{p(45)}{related}{p(12)}</div>{form}{comments}{legal}{foot}</body>")
         out.append(f"<body>{menu}{advert}<article>{head}{p(n)}{p(n * 3)}</article>{foot}</body>")
+        said = "".join(f"<p data-main>{x}</p>" for x in ("All rights reserved.", "Copyright is a matter of law.", "Terms of use are read by few", "Copyright 2020 by those who wrote it"))
+        out += [f"<article>{linked}</article>", f"<article>{p(n)}</article>", f"<body>{menu}<article>{said}{p(n)}{linked}{said}</article>{foot}</body>"]
+        side = f"<div class=sidebar><h3>{_filler(2, i, '')}</h3><p>{_filler(n + 20, i)}</p>{links}</div>"
+        for k, box in enumerate(("div", "section", "main")):
+            inner = f"{head if k else head.replace('h1', 'h2')}{p(n + 20 * k + 6)}{p(60 - 9 * k)}{p(n + 12)}"
+            out.append(f"<body>{(bare, menu, '')[(i + k) % 3]}{(notice, '', advert)[k]}<{box}>{inner}</{box}>{(side, related, comments)[(i + k) % 3]}{(legal, foot, legal)[k]}</body>")
     return out
 
 
