@@ -74,9 +74,25 @@ def xml_attr_escape(s: Column) -> Column:
 
 
 def decode_entities(s: Column) -> Column:
-    for name, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        s = F.replace(s, F.lit(name), F.lit(c))
-    return s
+    """The five named references and numeric ones, decimal or hexadecimal, each once, from left to right. A number that
+    is no character stays as it is. Texts are cut at references, so a decoded "&" begins no other."""
+    names = F.create_map(*(F.lit(x) for kv in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")) for x in kv))
+    pattern = F.lit(r"&(#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8}|lt|gt|quot|apos|amp);")
+    between, found = F.split(s, r"&(?:#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8}|lt|gt|quot|apos|amp);", -1), F.regexp_extract_all(s, pattern, 1)
+
+    def one(ref: Column) -> Column:
+        code = F.when(ref.rlike("^#[xX]"), F.conv(F.substring(ref, 3, 8), 16, 10)).otherwise(F.substring(ref, 2, 9)).cast("long")
+        valid = ((code > 0) & (code < 0xD800)) | ((code >= 0xE000) & (code <= 0x10FFFF))
+        units = F.lpad(F.hex(code), 8, "0")
+        return F.when(~ref.startswith("#"), names[ref]).when(valid, F.decode(F.unhex(units), "UTF-32")).otherwise(F.concat(F.lit("&"), ref, F.lit(";")))
+
+    parts = F.zip_with(between, found, lambda x, y: F.concat(x, F.coalesce(F.when(y.isNotNull(), one(y)), F.lit(""))))
+    return F.when(F.contains(s, F.lit("&")), F.array_join(parts, "")).otherwise(s)
+
+
+def char_count(b: Column, charset: str) -> Column:
+    """Characters of encoded bytes, as UTF-16 counts them."""
+    return F.octet_length(F.encode(get_string(b, charset), "UTF-16BE")).cast("int") / F.lit(2)
 
 
 def content_literal_escape(s: Column) -> Column:

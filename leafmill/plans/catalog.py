@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from . import collections, documents, relational, scalars  # noqa: F401
+    from . import collections, documents, edited, relational, scalars  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

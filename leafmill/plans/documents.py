@@ -110,12 +110,12 @@ def cp1252_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return coded.select("doc_id", strings.get_string(F.col("b"), "cp1252").alias("text"))
 
 
-@query("SELECT doc_id, lang, source FROM documents WHERE doc_id % 10 = 0")
+@query("SELECT doc_id, lang, source FROM documents")
 def pdf_encrypted_info(spark: SparkSession, d: str) -> DataFrame:
-    """The documents of every tenth id under a password and opened with it; AES by key of the document."""
+    """The documents under a password and opened with it; AES by key of the document."""
     from leafmill.kernels.pdf_write import encrypt
 
-    rows = _as_documents(spark, d).where("doc_id % 10 = 0")
+    rows = _as_documents(spark, d)
     locked = rows.select("doc_id", codecs.on_bytes(lambda c: encrypt(c, b"user", b"owner", 4), F.col("content")).alias("content"))
     info = documents.load(locked, "info", password="user").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))
     return info.select("doc_id", F.col("m")["lang"].alias("lang"), F.col("m")["source"].alias("source"))

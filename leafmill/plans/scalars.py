@@ -128,21 +128,6 @@ def device_size(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", geometry.device_size(F.col("p_size"), 150.0).alias("px"), geometry.is_landscape(F.col("p_size"), F.lit(25)).alias("landscape"))
 
 
-@query("""
-WITH w AS (SELECT unnest(string_split('abcdefghijklmnopqrstuvwxyz', '')) AS c, unnest(range(26)) AS i),
-ch AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents)
-SELECT doc_id, CAST(sum(coalesce(400 + w.i * 10, 500)) AS BIGINT) AS units FROM ch LEFT JOIN w ON ch.c = w.c WHERE ch.c <> '' GROUP BY doc_id""")
-def measure_string(spark: SparkSession, d: str) -> DataFrame:
-    """The sum of glyph advances of each text. Characters are counted per document by their share of each width
-    class, so that no character becomes a row."""
-    t = F.col("text")
-    plain = F.length(F.translate(t, "abcdefghijklmnopqrstuvwxyz", ""))
-    units = plain * 500
-    for i, c in enumerate("abcdefghijklmnopqrstuvwxyz"):
-        units = units + (F.length(t) - F.length(F.translate(t, c, ""))) * (400 + i * 10)
-    return table(spark, d, "documents").select("doc_id", units.cast("long").alias("units"))
-
-
 @query("""
 SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang FROM pages""")
 def info_map(spark: SparkSession, d: str) -> DataFrame:
@@ -162,13 +147,6 @@ def xmp_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", maps.canonical(maps.first_wins(entries)).alias("dump"))
 
 
-@query("SELECT page_id, CAST(len(regexp_extract_all(html, '<p[ >]')) AS INT) AS n_blocks, CAST(len(regexp_extract_all(html, '<a ')) AS INT) AS n_links FROM pages")
-def count_images(spark: SparkSession, d: str) -> DataFrame:
-    """Counts of embedded elements by page (the test pages hold paragraphs and links where others hold images)."""
-    html = F.col("html")
-    return table(spark, d, "pages").select("page_id", F.regexp_count(html, F.lit("<p[ >]")).alias("n_blocks"), F.regexp_count(html, F.lit("<a ")).alias("n_links"))
-
-
 @query("SELECT event_id, try_cast(regexp_extract(props, '(-?[0-9]+)', 1) AS BIGINT) AS number, value AS real FROM events")
 def xmp_casts(spark: SparkSession, d: str) -> DataFrame:
     n = F.regexp_extract("props", "(-?[0-9]+)", 1)

@@ -7,6 +7,7 @@ that holds its row, and nothing is shuffled. A document that can't be read gives
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -71,6 +72,104 @@ def _outlines(d: pdf.Document):
         yield {"seq": k, "depth": depth, "title": title}
 
 
+def _outline_items(d: pdf.Document):
+    numbers = {p["_id"]: n for n, p in enumerate(d.pages(), 1)}
+    seen: set = set()
+
+    def target(v):
+        v = d.get(v)
+        v = d.get(v.get("D")) if isinstance(v, dict) else v
+        if isinstance(v, list) and v:
+            return numbers.get(v[0].id) if isinstance(v[0], pdf.Ref) else None, str(v[1]) if len(v) > 1 else ""
+        return None, ""
+
+    def walk(ref, depth: int):
+        while isinstance(ref, pdf.Ref) and ref not in seen and depth < 100:
+            seen.add(ref)
+            item = d.get(ref)
+            if not isinstance(item, dict):
+                return
+            action = d.get(item.get("A"))
+            action = action if isinstance(action, dict) else {}
+            page, verb = target(item["Dest"] if "Dest" in item else action.get("D"))
+            flags, colour = d.get(item.get("F")), [float(x) for x in d.get(item.get("C")) or [] if isinstance(x, int | float)]
+            flags = flags if isinstance(flags, int) else 0
+            yield {
+                "depth": depth, "title": pdf.text_string(d.get(item.get("Title"))), "page": page, "verb": verb, "action": str(d.get(action.get("S")) or ""), "uri": pdf.text_string(d.get(action.get("URI"))),
+                "italic": bool(flags & 1), "bold": bool(flags & 2), "colour": colour, "open": not (isinstance(d.get(item.get("Count")), int) and d.get(item.get("Count")) < 0),
+            }
+            yield from walk(item.get("First"), depth + 1)
+            ref = item.get("Next")
+
+    top = d.get(d.root().get("Outlines"))
+    for k, row in enumerate(walk(top.get("First"), 0) if isinstance(top, dict) else []):
+        yield {"seq": k, **row}
+
+
+#: What a page's box is where the page has none.
+_BOX_DEFAULTS = {"MediaBox": None, "CropBox": "MediaBox", "BleedBox": "CropBox", "TrimBox": "CropBox", "ArtBox": "CropBox"}
+
+
+def _page_boxes(d: pdf.Document):
+    for n, p in enumerate(d.pages(), 1):
+        found: dict[str, list[float]] = {}
+        for box, otherwise in _BOX_DEFAULTS.items():
+            own = [d.get(x) for x in d.get(p.get(box)) or []]
+            own = own if len(own) == 4 and all(isinstance(x, int | float) for x in own) else None
+            if own is not None:
+                found[box] = [float(min(own[0], own[2])), float(min(own[1], own[3])), float(max(own[0], own[2])), float(max(own[1], own[3]))]
+            else:
+                found[box] = found[otherwise] if otherwise else list(pdf.box_of(p, d))
+            yield {"pagenum": n, "box": box, "rect": found[box], "own": own is not None}
+
+
+def _widgets(d: pdf.Document):
+    numbers = {p["_id"]: n for n, p in enumerate(d.pages(), 1)}
+    places = {ref.id: n for n, p in enumerate(d.pages(), 1) for ref in d.get(p.get("Annots")) or [] if isinstance(ref, pdf.Ref)}
+    for i, (_, f) in sorted(d.objects.items()):
+        if isinstance(f, dict) and f.get("Subtype") == "Widget":
+            page = places.get(i) or (numbers.get(f["P"].id) if isinstance(f.get("P"), pdf.Ref) else None)
+            if page is None:  # on no page any more
+                continue
+            yield {"name": pdf.text_string(d.get(f.get("T"))), "pagenum": page, "rect": [float(x) for x in d.get(f.get("Rect")) or [] if isinstance(x, int | float)]}
+
+
+def _metadata(d: pdf.Document):
+    s = d.get(d.root().get("Metadata"))
+    if isinstance(s, pdf.Stream):
+        yield {"packet": d.stream_bytes(s)}
+
+
+def _canonical(d: pdf.Document):
+    """Dumps of a document's parts, a line each."""
+    lines: dict[str, list[str]] = {"xref": [], "trailer": [], "objects": [], "pages_tree": [], "outlines": [], "content_stream": [], "to_unicode": [], "digest": []}
+    for r in _xref(d):
+        if r["kind"] == "compressed":
+            lines["xref"].append(f"{r['id']} {r['gen']} compressed {r['offset_or_stream']} {r['index_in_stream']}")
+        else:
+            lines["xref"].append(f"{r['id']} {r['gen']} {r['kind']} {r['offset_or_stream']}")
+    for r in _trailer(d):
+        lines["trailer"] += [f"size {r['size']}", *(f"{k} {r[k + '_id']}" for k in ("root", "info", "encrypt") if r[k + "_id"])]
+    for r in _objects(d):
+        lines["objects"].append(f"{r['id']} {r['gen']} {r['value']}")
+    for r in _pages(d):
+        lines["pages_tree"].append(f"page {r['object_id']} {r['width']:g} {r['height']:g} {r['rotation']}")
+    for r in _outlines(d):
+        lines["outlines"].append(f"{r['depth']}\t{r['title']}")
+    for r in _ops(d):
+        lines["content_stream"].append(" ".join([*r["operands"], r["op"]]))
+    for _, (_, v) in sorted(d.objects.items()):
+        s = d.get(v.get("ToUnicode")) if isinstance(v, dict) else None
+        if isinstance(s, pdf.Stream):
+            cmap = pdf.CMap(d.stream_bytes(s))
+            lines["to_unicode"] += [f"codespace {w} {a:0{2 * w}X} {b:0{2 * w}X}" for w, a, b in cmap.spaces]
+            lines["to_unicode"] += [f"bf {w} {c:0{2 * w}X} {' '.join(f'{ord(x):04X}' for x in t)}" for (w, c), t in sorted(cmap.map.items())]
+    lines["digest"] = [f"{name}: {hashlib.new(name, d.data).hexdigest()}" for name in ("md5", "sha1", "sha256", "sha384", "sha512")]
+    for dump, found in lines.items():
+        for k, line in enumerate(found):
+            yield {"dump": dump, "seq": k, "line": line}
+
+
 def _info(d: pdf.Document):
     info = d.get(d.trailer.get("Info"))
     for k, v in (info if isinstance(info, dict) else {}).items():
@@ -178,6 +277,11 @@ TABLES: dict[str, tuple[str, Callable[[pdf.Document], Iterator[dict]]]] = {
     "page_text": ("pagenum int, text string", _text),
     "text_runs": ("pagenum int, seq int, text string, x double, y double, font_size double", _runs),
     "outlines": ("seq int, depth int, title string", _outlines),
+    "outline_items": ("seq int, depth int, title string, page int, verb string, action string, uri string, italic boolean, bold boolean, colour array<double>, open boolean", _outline_items),
+    "page_boxes": ("pagenum int, box string, rect array<double>, own boolean", _page_boxes),
+    "widgets": ("name string, pagenum int, rect array<double>", _widgets),
+    "metadata": ("packet binary", _metadata),
+    "canonical": ("dump string, seq int, line string", _canonical),
     "info": ("key string, value string", _info),
     "annotations": ("pagenum int, subtype string, rect array<double>, contents string", _annotations),
     "form_fields": ("name string, kind string, value string, flags int", _fields),
@@ -189,6 +293,10 @@ TABLES: dict[str, tuple[str, Callable[[pdf.Document], Iterator[dict]]]] = {
 }
 
 
+#: Rows that are gathered before they are given away; a document's are never parted.
+ROWS = 2_000
+
+
 def load(docs: DataFrame, name: str, mode: str = "PERMISSIVE", password: str = "") -> DataFrame:
     """The table ``name`` of documents in (doc_id, content); encrypted ones open with ``password``."""
     columns, rows = TABLES[name]
@@ -200,15 +308,19 @@ def load(docs: DataFrame, name: str, mode: str = "PERMISSIVE", password: str = "
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
         for batch in batches:
             for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    found = [{"doc_id": doc_id, **r} for r in rows(pdf.Document.open(content.as_py() or b"", password.encode()))]
+                    held += [{"doc_id": doc_id, **r} for r in rows(pdf.Document.open(content.as_py() or b"", password.encode()))]
                 except (ValueError, TypeError, KeyError, IndexError, RecursionError):
                     if mode == "FAILFAST":
                         raise
                     continue
-                if found:
-                    yield pa.RecordBatch.from_pylist(found, schema=arrow)
+                if len(held) >= ROWS:
+                    yield pa.RecordBatch.from_pylist(held, schema=arrow)
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=arrow)
 
     return docs.select("doc_id", F.col("content").cast("binary").alias("content")).mapInArrow(run, schema)
