@@ -79,10 +79,9 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source
 
 def report(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """doc_id, lines before and after, and the digest of the text that is left, of every document."""
-    before = docs.select("doc_id", "source", "text", F.col("text").alias("old"))
-    after = dedup_lines(before, min_sites)
     n = lambda c: F.coalesce(F.when(F.length(c) == 0, 0).otherwise(F.size(F.split(c, "\n"))), F.lit(0)).cast("long")
-    return after.select("doc_id", n(F.col("old")).alias("n_lines"), n(F.col("text")).alias("n_kept"), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("text_sha256"))
+    after = dedup_lines(docs.select("doc_id", "source", "text", n(F.col("text")).alias("n_lines")), min_sites)
+    return after.select("doc_id", "n_lines", n(F.col("text")).alias("n_kept"), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
 CLEAN_SQL = """

@@ -265,9 +265,10 @@ def _prefixes(pool: DataFrame, ngram: int, similarity: float) -> DataFrame:
         for k in range(0, len(some), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(some[k : k + 100_000]), pa.array(total[some[k : k + 100_000]])], names=["spot", "k"])
 
-    found = pool.mapInArrow(count, "spot long, k long").groupBy("spot").agg(F.sum("k").alias("k")).where("k > 1").toArrow()
+    found = pool.mapInArrow(count, "spot long, k long").groupBy("spot").agg(F.sum("k").alias("k")).where("k > 1")
+    found = found.select(F.col("spot").cast("int"), F.least("k", F.lit(2**31 - 1)).cast("int").alias("k")).toArrow()  # 2 * COUNTERS rows at most
     table = np.ones(2 * COUNTERS, dtype=np.int32)
-    table[found.column(0).to_numpy()] = np.minimum(found.column(1).to_numpy(), 2**31 - 1)
+    table[found.column(0).to_numpy()] = found.column(1).to_numpy()
     counts = pool.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
