@@ -10,6 +10,7 @@ import re
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
+from . import encodings
 from .codecs import apply_filters
 
 
@@ -546,8 +547,9 @@ def _encoding(doc: Document, font: dict) -> dict[int, str] | None:
     base = enc if isinstance(enc, Name) else enc.get("BaseEncoding") if isinstance(enc, dict) else None
     if enc is None:
         return None
-    codec = {"WinAnsiEncoding": "cp1252", "MacRomanEncoding": "mac_roman"}.get(str(base), "latin-1")
-    table = {i: bytes((i,)).decode(codec, "replace") for i in range(256)}
+    table = {i: chr(i) for i in range(256)}
+    if found := encodings.from_name(str(base)):
+        table = table | encodings.table(found)
     code = 0
     for x in doc.get(enc.get("Differences")) or [] if isinstance(enc, dict) else []:
         if isinstance(x, int):
@@ -579,8 +581,8 @@ def glyph_text(name: str) -> str:
     return "".join(out)
 
 
-#: Names of common glyphs.
-GLYPHS = dict(zip("space exclam quotedbl numbersign dollar percent ampersand quotesingle parenleft parenright asterisk plus comma hyphen period slash zero one two three four five six seven eight nine colon semicolon less equal greater question at bracketleft backslash bracketright asciicircum underscore grave braceleft bar braceright asciitilde Euro quoteleft quoteright quotedblleft quotedblright bullet endash emdash trademark ellipsis eacute egrave agrave ccedilla adieresis odieresis udieresis germandbls ntilde".split(), " !\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~€‘’“”•–—™…éèàçäöüßñ", strict=True))
+#: Characters by glyph name.
+GLYPHS = encodings.names()
 
 
 def _times(m: tuple, n: tuple) -> tuple:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import geometry, layout
-from leafmill.kernels import pdf
+from leafmill.kernels import encodings, pdf
 from leafmill.operators import trees
 
 from ._tables import table
@@ -108,15 +108,17 @@ def word_wrap(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT unnest(string_split('Az09 .,!?()', '')) AS ch), g AS (SELECT ch FROM c WHERE ch <> '')
-SELECT ch, ascii(ch) AS code FROM g""")
+WITH c AS (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM documents)
+SELECT ch, unicode(ch) AS code FROM c WHERE ch <> '' AND (unicode(ch) BETWEEN 32 AND 126 OR unicode(ch) BETWEEN 192 AND 255)""")
 def glyph_names(spark: SparkSession, d: str) -> DataFrame:
-    """Characters by way of their glyph names: a small literal table joined to the names in use."""
-    names = {v: k for k, v in pdf.GLYPHS.items()}
+    """The printable ASCII and Latin-1 letters of all texts by way of their glyph names and back: the characters of each
+    text meet in sets, and the table of names is joined to what is left."""
     known = spark.createDataFrame([(k, v) for k, v in pdf.GLYPHS.items()], "name string, text string")
-    used = spark.createDataFrame([(names.get(c, c),) for c in "Az09 .,!?()"], "used string")
-    joined = used.join(F.broadcast(known), F.col("used") == F.col("name"), "left").select(F.coalesce("text", "used").alias("ch"))
-    return joined.select("ch", F.ascii("ch").alias("code"))
+    chars = table(spark, d, "documents").select(F.explode(F.array_distinct(F.split("text", ""))).alias("ch")).distinct().where(F.col("ch").rlike("^[ -~À-ÿ]$"))
+    glyphs = spark.createDataFrame([(c, n) for c, n in encodings.glyph_of().items()], "c string, glyph string")
+    named = chars.join(F.broadcast(glyphs), F.col("ch") == F.col("c")).select("glyph")
+    back = named.join(F.broadcast(known), F.col("glyph") == F.col("name")).select(F.col("text").alias("ch"))
+    return back.select("ch", F.expr("ascii(ch)").alias("code"))
 
 
 @query("SELECT r_name, count(DISTINCT n_nationkey) + count(c_custkey) AS visible FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey AND n_nationkey % 2 = 0 GROUP BY r_name")
