@@ -48,7 +48,7 @@ EDITED, TOXIC_WEIGHT = 2.0, 2.5
 CLOSE, CERTAIN = 0.85, 3.0
 #: Longer words are looked at in windows of this many letters, longer sentences in parts of this many words.
 LONG, SENTENCE = 24, 50
-MAX_CACHED = 350_000
+MAX_CACHED = 500_000
 
 _SIGNS = "$@0123456789.,;:!?\"'()[]{}<>*#%&|/\\-_+=~^`"
 _NOT_LETTER = re.compile(r"[\W\d_]+")
