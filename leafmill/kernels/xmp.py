@@ -6,6 +6,7 @@ import re
 import xml.etree.ElementTree as ET
 from xml.sax.saxutils import escape, quoteattr
 
+#: Names of the markup.
 _RDF = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
 _LANG = "{http://www.w3.org/XML/1998/namespace}lang"
 #: Namespaces by their usual prefixes.

@@ -19,7 +19,7 @@ def _cut(df: DataFrame) -> DataFrame:
 def descend(roots: DataFrame, edges: DataFrame, limit: int = 1000) -> DataFrame:
     """(node, depth, path) of all nodes under the roots. ``roots``: node; ``edges``: parent, node, sort key seq.
     Paths hold the keys from the root down, so ordering by them is preorder. A node already on the path to
-    itself is not followed again."""
+    itself is not followed again; a tree of more than ``limit`` levels is an error."""
     level = _cut(roots.select("node", F.lit(1).alias("depth"), F.array("seq").alias("path"), F.array("node").alias("seen")))
     out = level
     for _ in range(limit):
@@ -27,9 +27,9 @@ def descend(roots: DataFrame, edges: DataFrame, limit: int = 1000) -> DataFrame:
         level = level.join(e, F.col("node") == F.col("_p")).where(~F.array_contains("seen", F.col("_n")))
         level = _cut(level.select(F.col("_n").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("_s")).alias("path"), F.concat("seen", F.array("_n")).alias("seen")))
         if level.isEmpty():
-            break
+            return out.drop("seen")
         out = out.unionByName(level)
-    return out.drop("seen")
+    raise ValueError(f"the tree has more than {limit} levels")
 
 
 def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
@@ -48,12 +48,13 @@ def garbage(nodes: DataFrame, roots: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def inherit(nodes: DataFrame, value: str, limit: int = 1000) -> DataFrame:
-    """(node, value): a node's own value or that of its nearest ancestor with one. ``nodes``: node, parent, value."""
+    """(node, value): a node's own value or that of its nearest ancestor with one; more than ``limit`` levels
+    without a value are an error. ``nodes``: node, parent, value."""
     own = nodes.select(F.col("node"), F.col("parent").alias("up"), F.col(value))
     up = nodes.select(F.col("node").alias("_n"), F.col("parent").alias("_p"), F.col(value).alias("_v"))
     for _ in range(limit):
         if own.where(F.col(value).isNull() & F.col("up").isNotNull()).isEmpty():
-            break
+            return own.select("node", value)
         step = own.join(up, F.when(F.col(value).isNull(), F.col("up")) == F.col("_n"), "left")
         own = _cut(step.select("node", F.when(F.col(value).isNull(), F.col("_p")).otherwise(F.col("up")).alias("up"), F.coalesce(value, "_v").alias(value)))
-    return own.select("node", value)
+    raise ValueError(f"more than {limit} levels have no value")
