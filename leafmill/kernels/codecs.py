@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import ccitt
+
 _SPACE = b"\x00\t\n\x0c\r "
 
 
@@ -191,7 +193,15 @@ CODECS: dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]] = {
     "ASCIIHexDecode": (asciihex_encode, asciihex_decode), "ASCII85Decode": (ascii85_encode, ascii85_decode),
     "RunLengthDecode": (runlength_encode, runlength_decode), "LZWDecode": (lzw_encode, lzw_decode), "FlateDecode": (flate_encode, flate_decode),
 }
-_SHORT = {"AHx": "ASCIIHexDecode", "A85": "ASCII85Decode", "RL": "RunLengthDecode", "LZW": "LZWDecode", "Fl": "FlateDecode"}
+_SHORT = {"AHx": "ASCIIHexDecode", "A85": "ASCII85Decode", "RL": "RunLengthDecode", "LZW": "LZWDecode", "Fl": "FlateDecode", "CCF": "CCITTFaxDecode"}
+
+
+def fax_decode(data: bytes, parm: dict) -> bytes:
+    flags = {"black_is_1": "BlackIs1", "end_of_line": "EndOfLine", "byte_align": "EncodedByteAlign"}
+    return ccitt.decode(
+        data, int(parm.get("Columns", 1728)), int(parm.get("Rows", 0)), int(parm.get("K", 0)),
+        end_of_block=bool(parm.get("EndOfBlock", True)), **{k: bool(parm.get(v, False)) for k, v in flags.items()},
+    )
 
 
 def apply_filters(names: list[str], data: bytes, parms: list[dict] | None = None) -> bytes:
@@ -207,6 +217,8 @@ def apply_filters(names: list[str], data: bytes, parms: list[dict] | None = None
                     data = lzw_decode(data, early)
                 except ValueError:
                     data = lzw_decode(data, 1 - early)
+            elif name == "CCITTFaxDecode":
+                data = fax_decode(data, parm or {})
             else:
                 data = CODECS[name][1](data)
             if parm and int(parm.get("Predictor", 1)) > 1:

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 
+from . import ccitt
 from .codecs import flate_decode, lzw_decode, runlength_decode, undo_predictor
 
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -105,8 +106,28 @@ def tiff_encode(pages: list[tuple[int, int, bytes]], dpi: int = 72) -> bytes:
     return bytes(out)
 
 
+def tiff_encode_bilevel(pages: list[tuple[int, int, bytes]], packing: int = 4, dpi: int = 72) -> bytes:
+    """Black and white pages, fax coded (3: one-dimensional, 4: two-dimensional), one strip each. A pixel is black where
+    its local threshold says so."""
+    out, link = bytearray(b"II*\0\0\0\0\0"), 4
+    for w, h, rgba in pages:
+        grey = np.frombuffer(rgba, dtype=np.uint8).reshape(h, w, 4)[:, :, :3].mean(axis=2).astype(np.uint8)
+        black = threshold(grey) & (grey < 255)
+        strip = ccitt.encode(np.packbits(black, axis=1).tobytes(), w, h, -1 if packing == 4 else 0, True, end_of_line=packing == 3)
+        at = len(out)
+        out += strip + b"\0" * (len(strip) % 2)
+        extra = len(out)
+        out += struct.pack("<II", dpi, 1)
+        tags = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, 1, 1), (259, 3, 1, packing), (262, 3, 1, 0), (273, 4, 1, at), (277, 3, 1, 1), (278, 4, 1, h), (279, 4, 1, len(strip)), (282, 5, 1, extra), (283, 5, 1, extra), (296, 3, 1, 2)]
+        struct.pack_into("<I", out, link, len(out))
+        out += struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags)
+        link = len(out)
+        out += b"\0\0\0\0"
+    return bytes(out)
+
+
 def tiff_decode(data: bytes) -> list[tuple[int, int, bytes]]:
-    """Grey, palette and RGB pages of 8 bits, and bilevel ones; strips without compression, LZW, Deflate, PackBits."""
+    """Grey, palette and RGB pages of 8 bits, and bilevel ones; strips without compression, LZW, Deflate, PackBits, fax codes."""
     e = {b"II": "<", b"MM": ">"}.get(data[:2])
     if not e or struct.unpack(e + "H", data[2:4])[0] != 42:
         raise ValueError("no TIFF file")
@@ -124,7 +145,10 @@ def tiff_decode(data: bytes) -> list[tuple[int, int, bytes]]:
                 tags[tag] = struct.unpack(f"{e}{count}{letters[kind]}", data[start : start + size])
         w, h, packing = tags[256][0], tags[257][0], tags.get(259, (1,))[0]
         bits, parts, kind = tags.get(258, (1,))[0], tags.get(277, (1,))[0], tags.get(262, (1,))[0]
-        unpack = {1: lambda s: s, 5: lambda s: lzw_decode(s, 1), 8: flate_decode, 32946: flate_decode, 32773: lambda s: runlength_decode(s + b"\x80")}[packing]
+        left = iter(range(h, 0, -tags.get(278, (h,))[0]))
+        fax = lambda k, **flags: lambda s: ccitt.decode(s, w, min(next(left), tags.get(278, (h,))[0]), k, True, **flags)  # noqa: E731, B023
+        group_3 = 1 if tags.get(292, (0,))[0] & 1 else 0
+        unpack = {2: fax(0, byte_align=True, end_of_block=False), 3: fax(group_3), 4: fax(-1), 1: lambda s: s, 5: lambda s: lzw_decode(s, 1), 8: flate_decode, 32946: flate_decode, 32773: lambda s: runlength_decode(s + b"\x80")}[packing]
         raw = b"".join(unpack(data[o : o + c]) for o, c in zip(tags[273], tags[279], strict=True))
         if tags.get(317, (1,))[0] == 2:
             raw = undo_predictor(raw, 2, parts, bits, w)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as strings
-from leafmill.kernels import codecs, crypto
+from leafmill.kernels import ccitt, codecs, crypto
 from leafmill.sources import documents, writers
 
 from ._tables import table
@@ -88,6 +88,17 @@ for _key, _name in (("lzw_round_trip", "LZWDecode"), ("ascii85_round_trip", "ASC
     query("SELECT doc_id, text, true AS changed FROM documents")(_f)
 
 
+@query("SELECT conv_id, turn, text, CAST(ceil(octet_length(encode(text)) / 8) AS BIGINT) AS n_lines FROM conversations")
+def ccitt_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as rasters of 64 columns, coded line by line from the line above, and decoded."""
+    b = F.col("text").cast("binary")
+    lines = F.ceil(F.length(b) / 8)
+    coded = codecs.on_bytes(lambda x: ccitt.encode(x + b" " * (-len(x) % 8), 64, -(-len(x) // 8)), b)
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.length(b).alias("n"), lines.alias("n_lines"), coded.alias("coded"))
+    back = codecs.on_bytes(lambda x: ccitt.decode(x, 64, 0, -1), F.col("coded"))
+    return rows.select("conv_id", "turn", "n", "n_lines", back.alias("back")).select("conv_id", "turn", F.expr("cast(substring(back, 1, n) as string)").alias("text"), "n_lines")
+
+
 @query("SELECT doc_id, text, true AS changed FROM documents")
 def rc4_round_trip(spark: SparkSession, d: str) -> DataFrame:
     b, key = F.col("text").cast("binary"), crypto.object_key_column(F.lit(b"0123456789abcdef"), F.col("doc_id"), F.lit(0).cast("long"), False, 16)
