@@ -541,7 +541,7 @@ class CMap:
         return "".join(out)
 
 
-def _encoding(doc: Document, font: dict) -> dict[int, str] | None:
+def font_encoding(doc: Document, font: dict) -> dict[int, str] | None:
     """Characters by code where a font has an encoding of its own."""
     enc = doc.get(font.get("Encoding"))
     base = enc if isinstance(enc, Name) else enc.get("BaseEncoding") if isinstance(enc, dict) else None
@@ -604,7 +604,7 @@ def text_runs(doc: Document, page: dict) -> list[tuple[str, float, float, float]
                 to_unicode = doc.get(font.get("ToUnicode"))
                 if isinstance(to_unicode, Stream):
                     decode = CMap(doc.stream_bytes(to_unicode)).decode
-                elif (table := _encoding(doc, font)) is not None:
+                elif (table := font_encoding(doc, font)) is not None:
                     decode = lambda s, t=table: text_string(s) if s[:2] == b"\xfe\xff" else "".join(t[c] for c in s)
             decoders[name] = decode
         return decoders[name]

@@ -1,6 +1,7 @@
 """Pages as pictures: paths, colours, clips and images of content streams, painted with 4 x 4 samples a pixel.
 
-Text is painted as boxes of its runs' extent (half an em a character) unless ``text=False``; font outlines are not read.
+Text is painted with the outlines of embedded TrueType fonts; runs in other fonts as boxes of their extent (half an em a
+character without a width) unless ``text=False``. Annotations are painted by their normal appearance.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ import zlib
 
 import numpy as np
 
+from .faces import DEFAULT, Face
 from .pdf import Document, Name, Stream, box_of, operations, rotation_of, text_string
 
 SAMPLES = 4
@@ -74,20 +76,46 @@ class Painter:
     def __init__(self, doc: Document, width: int, height: int, text: bool = True):
         self.doc, self.width, self.height, self.text = doc, width, height, text
         self.pixels = np.ones((height, width, 3))
+        self.faces: dict[int, tuple[dict, Face | None]] = {}
 
     def fill(self, polygons, colour, even_odd: bool, clip) -> None:
-        cover = coverage(self.width, self.height, polygons, even_odd)
-        cover = cover if clip is None else cover * clip
-        self.pixels = self.pixels * (1 - cover[:, :, None]) + np.array(colour) * cover[:, :, None]
+        """Only the pixels about the polygons are touched."""
+        points = np.array([p for poly in polygons for p in poly])
+        if not len(points) or not np.isfinite(points).all():
+            return
+        (x0, y0), (x1, y1) = np.floor(points.min(axis=0)), np.ceil(points.max(axis=0))
+        x0, x1 = (int(min(max(v, 0), self.width)) for v in (x0, x1))
+        y0, y1 = (int(min(max(v, 0), self.height)) for v in (y0, y1))
+        if x0 >= x1 or y0 >= y1:
+            return
+        cover = coverage(x1 - x0, y1 - y0, [[(x - x0, y - y0) for x, y in poly] for poly in polygons], even_odd)
+        cover = (cover if clip is None else cover * clip[y0:y1, x0:x1])[:, :, None]
+        self.pixels[y0:y1, x0:x1] = self.pixels[y0:y1, x0:x1] * (1 - cover) + np.array(colour) * cover
+
+    def face(self, resources: dict, name: str) -> Face | None:
+        font = self.doc.get((self.doc.get(resources.get("Font")) or {}).get(name))
+        if not isinstance(font, dict):
+            return None
+        if id(font) not in self.faces:
+            try:
+                self.faces[id(font)] = font, Face(self.doc, font)
+            except (AttributeError, IndexError, TypeError, ValueError):
+                self.faces[id(font)] = font, None
+        return self.faces[id(font)][1]
 
-    def image(self, s: Stream, ctm: tuple, clip) -> None:
+    def image(self, s: Stream, ctm: tuple, clip, colour: tuple = (0.0, 0.0, 0.0)) -> None:
         head = s.header
         w, h, space = self.doc.get(head.get("Width")), self.doc.get(head.get("Height")), self.doc.get(head.get("ColorSpace"))
-        parts = {"DeviceGray": 1, "DeviceRGB": 3, "DeviceCMYK": 4}.get(space if isinstance(space, Name) else "", 0)
-        raw = self.doc.stream_bytes(s)
-        if not parts or self.doc.get(head.get("BitsPerComponent")) != 8 or len(raw) < w * h * parts:
+        stencil = self.doc.get(head.get("ImageMask")) is True
+        parts = 1 if stencil else {"DeviceGray": 1, "DeviceRGB": 3, "DeviceCMYK": 4}.get(space if isinstance(space, Name) else "", 0)
+        raw, bits = self.doc.stream_bytes(s), 1 if stencil else self.doc.get(head.get("BitsPerComponent"))
+        if not parts or bits not in (1, 2, 4, 8) or len(raw) < (row := (w * parts * bits + 7) // 8) * h:
             return
-        px = np.frombuffer(raw[: w * h * parts], dtype=np.uint8).reshape(h, w, parts) / 255.0
+        px = np.unpackbits(np.frombuffer(raw[: row * h], dtype=np.uint8).reshape(h, row), axis=1)[:, : w * parts * bits]
+        px = (px.reshape(h, w, parts, bits) @ (1 << np.arange(bits)[::-1])) / (2**bits - 1)
+        ends = [float(x) for x in self.doc.get(head.get("Decode")) or ()]
+        if len(ends) == 2 * parts:
+            px = np.array(ends[::2]) + px * np.diff(np.array(ends).reshape(-1, 2), axis=1)[:, 0]
         px = np.repeat(px, 3, axis=2) if parts == 1 else (1 - px[:, :, :3]) * (1 - px[:, :, 3:]) if parts == 4 else px
         det = ctm[0] * ctm[3] - ctm[1] * ctm[2]
         if abs(det) < 1e-12:
@@ -98,15 +126,18 @@ class Painter:
         cover = coverage(self.width, self.height, [[at(ctm, *c) for c in ((0, 0), (1, 0), (1, 1), (0, 1))]])
         cover = (cover if clip is None else cover * clip)[:, :, None]
         shown = px[np.clip((1 - v) * h, 0, h - 1).astype(int), np.clip(u * w, 0, w - 1).astype(int)]
+        if stencil:
+            cover, shown = cover * (1 - shown[:, :, :1]), np.array(colour)
         self.pixels = self.pixels * (1 - cover) + shown * cover
 
     def run(self, content: bytes, resources: dict, ctm: tuple, depth: int = 0) -> None:
         state = {"ctm": ctm, "fill": (0.0, 0.0, 0.0), "stroke": (0.0, 0.0, 0.0), "width": 1.0, "clip": None}
+        state |= {"face": None, "size": 0.0, "between": 0.0, "words": 0.0, "scale": 1.0, "rise": 0.0, "mode": 0}
         stack: list[dict] = []
         paths: list[tuple[list, bool]] = []
         pending = None
         tm = lm = _ID
-        size = lead = 0.0
+        lead = 0.0
         point = (0.0, 0.0)
 
         def start(x, y):
@@ -139,10 +170,32 @@ class Painter:
             paths.clear()
 
         def show(s: bytes):
-            n = len(text_string(s))
-            if self.text and n:
-                m = times(tm, state["ctm"])
-                self.fill([[at(m, *c) for c in ((0, 0), (n * size * 0.5, 0), (n * size * 0.5, size * 0.7), (0, size * 0.7))]], state["fill"], False, state["clip"])
+            nonlocal tm
+            face, size, scale = state["face"], state["size"], state["scale"]
+            if face is None:
+                codes, text = list(s), text_string(s)
+                along = [DEFAULT / 1000] * len(text)
+            else:
+                codes = list(face.codes(s))
+                along = [face.advance(c) for c in codes]
+            spaced = [w * size + state["between"] + (state["words"] if c == 32 and not (face and face.wide) else 0) for w, c in zip(along, codes, strict=False)]
+            if self.text and codes and state["mode"] not in (3, 7):
+                m = times((scale, 0, 0, 1, 0, state["rise"]), times(tm, state["ctm"]))
+                if face and face.program:
+                    x, rings = 0.0, []
+                    for c, step in zip(codes, spaced, strict=True):
+                        rings += [[at(m, x + px * size, py * size) for px, py in ring] for ring in face.rings(c)]
+                        x += step
+                else:
+                    rings = [[at(m, *c) for c in ((0, 0), (sum(spaced), 0), (sum(spaced), size * 0.7), (0, size * 0.7))]]
+                if state["mode"] in (0, 2, 4, 6):
+                    self.fill(rings, state["fill"], False, state["clip"])
+                if state["mode"] in (1, 2, 5, 6):
+                    half = max(0.5, state["width"] * abs(m[0] * m[3] - m[1] * m[2]) ** 0.5 / 2)
+                    for ring in rings:
+                        for quad in outline(ring, True, half):
+                            self.fill([quad], state["stroke"], False, state["clip"])
+            tm = times((1, 0, 0, 1, sum(spaced) * scale, 0), tm)
 
         for op, args in operations(content):
             try:
@@ -189,7 +242,13 @@ class Painter:
                 elif op == "BT":
                     tm = lm = _ID
                 elif op == "Tf":
-                    size = float(args[1])
+                    state["face"], state["size"] = self.face(resources, str(args[0])), float(args[1])
+                elif op in ("Tc", "Tw", "Ts"):
+                    state[{"Tc": "between", "Tw": "words", "Ts": "rise"}[op]] = float(args[0])
+                elif op == "Tz":
+                    state["scale"] = float(args[0]) / 100
+                elif op == "Tr":
+                    state["mode"] = int(args[0])
                 elif op == "TL":
                     lead = float(args[0])
                 elif op in ("Td", "TD"):
@@ -199,17 +258,23 @@ class Painter:
                     tm = lm = tuple(map(float, args))
                 elif op in ("T*", "'", '"'):
                     tm = lm = times((1, 0, 0, 1, 0, -lead), lm)
+                    if op == '"':
+                        state["words"], state["between"] = float(args[0]), float(args[1])
                     if op != "T*":
                         show(args[-1])
                 elif op == "Tj":
                     show(args[0])
                 elif op == "TJ":
-                    show(b"".join(x for x in args[0] if isinstance(x, bytes)))
+                    for x in args[0]:
+                        if isinstance(x, bytes):
+                            show(x)
+                        else:
+                            tm = times((1, 0, 0, 1, -float(x) / 1000 * state["size"] * state["scale"], 0), tm)
                 elif op == "Do" and depth < 8:
                     found = self.doc.get(resources.get("XObject")) or {}
                     s = self.doc.get(found.get(str(args[0])))
                     if isinstance(s, Stream) and s.header.get("Subtype") == "Image":
-                        self.image(s, state["ctm"], state["clip"])
+                        self.image(s, state["ctm"], state["clip"], state["fill"])
                     elif isinstance(s, Stream) and s.header.get("Subtype") == "Form":
                         m = tuple(map(float, self.doc.get(s.header.get("Matrix")) or _ID))
                         self.run(self.doc.stream_bytes(s), self.doc.get(s.header.get("Resources")) or resources, times(m, state["ctm"]), depth + 1)
@@ -217,6 +282,26 @@ class Painter:
                 continue
 
 
+    def annotation(self, note: dict, ctm: tuple) -> None:
+        """The normal appearance, moved and stretched into the annotation's rectangle; hidden ones stay out."""
+        look = self.doc.get((self.doc.get(note.get("AP")) or {}).get("N"))
+        if isinstance(look, dict):
+            look = self.doc.get(look.get(str(self.doc.get(note.get("AS")))))
+        flags, box = int(self.doc.get(note.get("F")) or 0), [float(self.doc.get(v)) for v in self.doc.get(note.get("Rect")) or ()]
+        if not isinstance(look, Stream) or flags & 0x22 or len(box) != 4 or self.doc.get(note.get("Subtype")) == "Popup":
+            return
+        m = tuple(float(self.doc.get(v)) for v in self.doc.get(look.header.get("Matrix")) or _ID)
+        x0, y0, x1, y1 = (float(self.doc.get(v)) for v in self.doc.get(look.header.get("BBox")) or (0, 0, 1, 1))
+        corners = np.array([at(m, x, y) for x in (x0, x1) for y in (y0, y1)])
+        low, high = corners.min(axis=0), corners.max(axis=0)
+        to_low, to_high = np.minimum(box[:2], box[2:]), np.maximum(box[:2], box[2:])
+        if (high <= low).any():
+            return
+        sx, sy = (to_high - to_low) / (high - low)
+        fit = (sx, 0, 0, sy, to_low[0] - low[0] * sx, to_low[1] - low[1] * sy)
+        self.run(self.doc.stream_bytes(look), self.doc.get(look.header.get("Resources")) or {}, times(times(m, fit), ctm), 1)
+
+
 def render(doc: Document, page: dict, dpi: float = 72.0, text: bool = True) -> tuple[int, int, bytes]:
     """(width, height, RGBA) of a page."""
     x0, y0, x1, y1 = box_of(page, doc)
@@ -228,6 +313,13 @@ def render(doc: Document, page: dict, dpi: float = 72.0, text: bool = True) -> t
     ctm = times(times((1, 0, 0, 1, -x0, -y0), turned), (width / across, 0, 0, -height / up, 0, height))
     painter = Painter(doc, width, height, text)
     painter.run(doc.contents(page), doc.get(page.get("Resources")) or {}, ctm)
+    for note in doc.get(page.get("Annots")) or []:
+        note = doc.get(note)
+        if isinstance(note, dict):
+            try:
+                painter.annotation(note, ctm)
+            except (AttributeError, TypeError, ValueError, IndexError):
+                continue
     rgb = np.floor(painter.pixels * 255 + 0.5).astype(np.uint8)
     return width, height, np.dstack([rgb, np.full((height, width), 255, dtype=np.uint8)]).tobytes()
 

@@ -1,4 +1,4 @@
-"""TrueType fonts: metrics, character maps (format 4) and glyph outlines, simple and compound."""
+"""TrueType fonts: metrics, character maps (formats 0, 4, 6 and 12) and glyph outlines, simple and compound."""
 
 from __future__ import annotations
 
@@ -6,6 +6,18 @@ import struct
 from dataclasses import dataclass, field
 
 
+class _Outlines(dict):
+    """Outlines by glyph, read when asked for."""
+
+    def __init__(self, glyf: bytes, loca: list[int]):
+        super().__init__()
+        self.glyf, self.loca = glyf, loca
+
+    def __missing__(self, g: int) -> list[list[tuple[float, float, bool]]]:
+        self[g] = _outline(self.glyf, self.loca, g)
+        return self[g]
+
+
 @dataclass
 class Font:
     units: int
@@ -13,7 +25,9 @@ class Font:
     descent: int
     widths: list[int]
     cmap: dict[int, int]
-    outlines: dict[int, list[list[tuple[float, float, bool]]]] = field(default_factory=dict)
+    outlines: dict[int, list[list[tuple[float, float, bool]]]] = field(default_factory=lambda: _Outlines(b"", []))
+    #: Glyphs by code of the font's own byte encoding.
+    codes: dict[int, int] = field(default_factory=dict)
 
 
 def parse(data: bytes) -> Font:
@@ -28,19 +42,36 @@ def parse(data: bytes) -> Font:
     glyphs = struct.unpack(">H", tables[b"maxp"][4:6])[0]
     widths = [struct.unpack(">H", tables[b"hmtx"][4 * k : 4 * k + 2])[0] for k in range(min(long_metrics, glyphs))]
     widths += widths[-1:] * (glyphs - len(widths))
-    font = Font(units, ascent, descent, widths, _cmap(tables[b"cmap"]) if b"cmap" in tables else {})
+    cmap, codes = _cmap(tables[b"cmap"]) if b"cmap" in tables else ({}, {})
+    font = Font(units, ascent, descent, widths, cmap, codes=codes)
     if b"glyf" in tables and b"loca" in tables:
         loca = struct.unpack(f">{glyphs + 1}{'I' if wide else 'H'}", tables[b"loca"][: (glyphs + 1) * (4 if wide else 2)])
         loca = [v if wide else 2 * v for v in loca]
-        font.outlines = {g: _outline(tables[b"glyf"], loca, g) for g in range(glyphs)}
+        font.outlines = _Outlines(tables[b"glyf"], loca)
     return font
 
 
-def _cmap(table: bytes) -> dict[int, int]:
+def _cmap(table: bytes) -> tuple[dict[int, int], dict[int, int]]:
+    """Glyphs by character, and by code of a byte encoding."""
     out: dict[int, int] = {}
+    codes: dict[int, int] = {}
     for k in range(struct.unpack(">H", table[2:4])[0]):
-        at = struct.unpack(">I", table[8 + 8 * k : 12 + 8 * k])[0]
-        if struct.unpack(">H", table[at : at + 2])[0] != 4:
+        platform, _, at = struct.unpack(">HHI", table[4 + 8 * k : 12 + 8 * k])
+        kind = struct.unpack(">H", table[at : at + 2])[0]
+        found: dict[int, int] = {}
+        if kind == 0:
+            found = dict(enumerate(table[at + 6 : at + 262]))
+        elif kind == 6:
+            first, n = struct.unpack(">HH", table[at + 6 : at + 10])
+            found = {first + i: g for i, g in enumerate(struct.unpack(f">{n}H", table[at + 10 : at + 10 + 2 * n]))}
+        elif kind == 12:
+            for i in range(struct.unpack(">I", table[at + 12 : at + 16])[0]):
+                first, last, glyph = struct.unpack(">III", table[at + 16 + 12 * i : at + 28 + 12 * i])
+                found |= {c: glyph + c - first for c in range(first, min(last, 0x10FFFF) + 1)}
+        for code, glyph in found.items():
+            if glyph:
+                (codes if platform == 1 else out).setdefault(code, glyph)
+        if kind != 4:
             continue
         n = struct.unpack(">H", table[at + 6 : at + 8])[0] // 2
         words = lambda start, kind="H": struct.unpack(f">{n}{kind}", table[start : start + 2 * n])  # noqa: E731, B023
@@ -55,8 +86,8 @@ def _cmap(table: bytes) -> dict[int, int]:
                 else:
                     glyph = (code + delta) & 0xFFFF
                 if glyph:
-                    out.setdefault(code, glyph)
-    return out
+                    (codes if platform == 1 else out).setdefault(code, glyph)
+    return out, codes
 
 
 def _outline(glyf: bytes, loca: list[int], g: int, depth: int = 0) -> list[list[tuple[float, float, bool]]]:

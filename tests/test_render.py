@@ -39,6 +39,64 @@ def test_images_and_devices(spark):
     assert len(images.tiff_decode(bytes(devices.tiff(docs.where("doc_id = 1")).first()["image"]))) == 1
 
 
+def with_parts(ops, resources, parts, annots=()):
+    name, ref = pdf.Name, pdf.Ref
+    objects = {1: {"Type": name("Catalog"), "Pages": ref(2, 0)}, 2: {"Type": name("Pages"), "Kids": [ref(3, 0)], "Count": 1}, 3: {"Type": name("Page"), "Parent": ref(2, 0), "MediaBox": [0, 0, 20, 10], "Resources": resources, "Contents": ref(4, 0), "Annots": list(annots)}, 4: pdf.Stream({}, ops)}
+    return pdf_write.write(objects | parts, {"Root": ref(1, 0)})
+
+
+def test_glyphs_of_embedded_fonts():
+    from test_truetype import font
+
+    name, ref = pdf.Name, pdf.Ref
+    simple = {"Type": name("Font"), "Subtype": name("TrueType"), "FirstChar": 65, "Widths": [200, 100], "FontDescriptor": ref(6, 0)}
+    wide = {"Type": name("Font"), "Subtype": name("Type0"), "Encoding": name("Identity-H"), "DescendantFonts": [{"Subtype": name("CIDFontType2"), "FontDescriptor": ref(6, 0), "W": [1, [200], 2, 2, 100]}]}
+    parts = {5: simple, 6: {"FontFile2": ref(7, 0)}, 7: pdf.Stream({}, font()), 8: wide}
+    draw = lambda ops: pixels(with_parts(ops, {"Font": {"F": ref(5, 0), "W": ref(8, 0)}}, parts))
+    a = draw(b"BT /F 50 Tf 0 0 Td (A) Tj ET")
+    assert (a[5:, :5] == 0).all() and a.sum() == 255 * (200 - 25)
+    # A is 10 wide; B's square is moved by half a pixel
+    ab = draw(b"BT /F 50 Tf 0 0 Td (AB) Tj ET")
+    assert (ab[5:, :5] == 0).all() and (ab[5:, 11:15] == 0).all() and (ab[5:, 10] == 128).all() and (ab[:, 6:10] == 255).all()
+    assert (draw(b"BT /W 50 Tf 0 0 Td <00010002> Tj ET") == ab).all()
+    assert (draw(b"BT /F 50 Tf 0 0 Td [(A) 0 (B)] TJ ET") == ab).all()
+    assert (draw(b"BT /F 50 Tf 0 0 Td (A) Tj (B) Tj ET") == ab).all()
+    moved = draw(b"BT /F 50 Tf 0 0 Td [(A) 100 (A)] TJ ET")
+    assert (moved[5:, :10] == 0).all() and moved.sum() == 255 * 150
+    assert (draw(b"BT /F 50 Tf 3 Tr 0 0 Td (A) Tj ET") == 255).all()
+    assert (draw(b"BT /F 50 Tf 5 Ts 0 0 Td (A) Tj ET")[:5, :5] == 0).all()
+    assert (draw(b"BT /F 50 Tf 2 Tc 0 0 Td (AA) Tj ET")[5:, 12:17] == 0).all()
+    assert (draw(b"BT /F 50 Tf 50 Tz 0 0 Td (A) Tj ET")[5:, 3:] == 255).all()
+    # a program that can't be read is painted as a box
+    broken = pixels(with_parts(b"BT /F 5 Tf 0 0 Td (A) Tj ET", {"Font": {"F": ref(5, 0)}}, parts | {7: pdf.Stream({}, b"junk")}))
+    assert (broken[7:, 0] == 0).all()
+
+
+def test_annotations_and_stencils():
+    name, ref = pdf.Name, pdf.Ref
+    look = pdf.Stream({"BBox": [0, 0, 1, 1]}, b"0 g 0 0 1 1 re f")
+    note = {"Subtype": name("Stamp"), "Rect": [2, 2, 6, 4], "AP": {"N": ref(5, 0)}}
+    got = pixels(with_parts(b"", {}, {5: look}, [note]))
+    assert (got[6:8, 2:6] == 0).all() and got.sum() == 255 * (200 - 8)
+    state = note | {"AP": {"N": {"On": ref(5, 0)}}}
+    assert (pixels(with_parts(b"", {}, {5: look}, [state | {"AS": name("On")}])) == got).all()
+    for hidden in (note | {"F": 2}, note | {"Subtype": name("Popup")}, state | {"AS": name("Off")}, {"AP": 3}):
+        assert (pixels(with_parts(b"", {}, {5: look}, [hidden])) == 255).all()
+    stencil = pdf.Stream({"Subtype": name("Image"), "Width": 2, "Height": 1, "ImageMask": True, "BitsPerComponent": 1}, bytes([0b01000000]))
+    got = pixels(with_parts(b"q 0 g 20 0 0 10 0 0 cm /I Do Q", {"XObject": {"I": ref(5, 0)}}, {5: stencil}))
+    assert (got[:, :10] == 0).all() and (got[:, 10:] == 255).all()
+    turned = pdf.Stream(stencil.header | {"Decode": [1, 0]}, stencil.body)
+    assert (pixels(with_parts(b"q 0 g 20 0 0 10 0 0 cm /I Do Q", {"XObject": {"I": ref(5, 0)}}, {5: turned}))[:, 10:] == 0).all()
+    nibbles = pdf.Stream({"Subtype": name("Image"), "Width": 2, "Height": 1, "ColorSpace": name("DeviceGray"), "BitsPerComponent": 4}, bytes([0x0F]))
+    got = pixels(with_parts(b"q 20 0 0 10 0 0 cm /I Do Q", {"XObject": {"I": ref(5, 0)}}, {5: nibbles}))
+    assert (got[:, :10] == 0).all() and (got[:, 10:] == 255).all()
+    from leafmill.kernels import ccitt
+
+    fax = pdf.Stream({"Subtype": name("Image"), "Width": 2, "Height": 1, "ColorSpace": name("DeviceGray"), "BitsPerComponent": 1, "Filter": name("CCITTFaxDecode"), "DecodeParms": {"K": -1, "Columns": 2, "Rows": 1}}, ccitt.encode(bytes([0b01000000]), 2, 1))
+    got = pixels(with_parts(b"q 20 0 0 10 0 0 cm /I Do Q", {"XObject": {"I": ref(5, 0)}}, {5: fax}))
+    assert (got[:, :10] == 0).all() and (got[:, 10:] == 255).all()
+
+
 def test_jpeg():
     from leafmill.kernels import jpeg
 

@@ -33,3 +33,12 @@ def test_font():
     assert ring == [(0, 0), (50, 50), (100, 0), (0, 0)]
     cover = render.coverage(10, 10, [[(x / 10, y / 10) for x, y, _ in f.outlines[2][0]]])
     assert cover[5, 0] == 0 and cover[5, 5] == 1
+
+
+def test_character_maps():
+    def made(platform, sub):
+        return truetype._cmap(struct.pack(">HHHHI", 0, 1, platform, 0, 12) + sub)
+
+    assert made(1, struct.pack(">HHH", 0, 262, 0) + bytes([0, 5]) + bytes(254)) == ({}, {1: 5})
+    assert made(3, struct.pack(">HHHHH2H", 6, 14, 0, 65, 2, 7, 0)) == ({65: 7}, {})
+    assert made(3, struct.pack(">HHIII", 12, 0, 28, 0, 1) + struct.pack(">III", 0x1F600, 0x1F602, 3)) == ({0x1F600: 3, 0x1F601: 4, 0x1F602: 5}, {})
