@@ -3,11 +3,14 @@ them, and what they hold afterwards is read back."""
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import bignum, metrics
 from leafmill.functions import text as strings
+from leafmill.kernels import signing
 from leafmill.sources import documents, edits, writers
 
 from ._tables import table
@@ -218,6 +221,14 @@ def pdf_canonical(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("SELECT DISTINCT conv_id AS doc_id, 'Signature1' AS field, 'Tester' AS signer, 'Approved' AS reason, true AS covers_whole, true AS intact FROM conversations")
+def pdf_signed(spark: SparkSession, d: str) -> DataFrame:
+    """Documents signed with a key for tests, and their signatures read back and verified."""
+    key = signing.derived_key(42)
+    made = writers.signed(_documents(spark, d), key, signing.self_signed(key, "Tester"), datetime(2024, 1, 1, tzinfo=UTC), Reason="Approved")
+    return documents.load(made, "signatures").select("doc_id", "field", "signer", "reason", "covers_whole", "intact")
+
+
 @query("""
 WITH x AS (SELECT o_orderkey, CAST(o_orderkey AS HUGEINT) * 1000003 * 998244353 + 7 AS a, CAST(o_custkey AS HUGEINT) * 65537 + 1 AS b FROM orders)
 SELECT o_orderkey, CAST(a + b AS VARCHAR) AS total, CAST(greatest(a, b) - least(a, b) AS VARCHAR) AS gap, CAST(a * b AS VARCHAR) AS product, CAST(a // b AS VARCHAR) AS quotient, CAST(a % b AS VARCHAR) AS rest,

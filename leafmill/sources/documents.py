@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.kernels import pdf
+from leafmill.kernels import pdf, signing
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
@@ -263,7 +263,8 @@ def _signatures(d: pdf.Document):
             sig = sig if isinstance(sig, dict) else {}
             br = [x for x in d.get(sig.get("ByteRange")) or [] if isinstance(x, int)]
             text = lambda k, sig=sig: pdf.text_string(d.get(sig.get(k)))
-            yield {"field": pdf.text_string(d.get(v.get("T"))), "name": text("Name"), "reason": text("Reason"), "location": text("Location"), "byte_range": br, "has_value": bool(sig), "covers_whole": len(br) == 4 and br[2] + br[3] == len(d.data)}
+            intact, signer = signing.verify_document(d, sig)
+            yield {"field": pdf.text_string(d.get(v.get("T"))), "intact": intact, "signer": signer, "name": text("Name"), "reason": text("Reason"), "location": text("Location"), "byte_range": br, "has_value": bool(sig), "covers_whole": len(br) == 4 and br[2] + br[3] == len(d.data)}
 
 
 _ref = "array<struct<id: int, gen: int>>"
@@ -289,7 +290,7 @@ TABLES: dict[str, tuple[str, Callable[[pdf.Document], Iterator[dict]]]] = {
     "named_dests": ("name string, page int, verb string, operands array<string>", _dests),
     "page_labels": ("start_page int, style string, prefix string, start_value int", _labels),
     "images": ("pagenum int, name string, width int, height int, filter string, bytes binary", _images),
-    "signatures": ("field string, name string, reason string, location string, byte_range array<long>, has_value boolean, covers_whole boolean", _signatures),
+    "signatures": ("field string, name string, reason string, location string, byte_range array<long>, has_value boolean, covers_whole boolean, intact boolean, signer string", _signatures),
 }
 
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.kernels import pdf_write
+from leafmill.kernels import pdf_write, signing
 
 
 def from_text(docs: DataFrame, info: tuple[str, ...] = ()) -> DataFrame:
@@ -60,3 +61,19 @@ def compacted(docs: DataFrame) -> DataFrame:
         return content.map(lambda c: pdf_write.compact(bytes(c)))
 
     return docs.select("doc_id", shrink("content").alias("content"))
+
+
+def signed(docs: DataFrame, key: signing.Key, certificate: bytes, time: datetime, field: str = "Signature1", page: int = 1, **texts: str) -> DataFrame:
+    """(doc_id, content) with a signature of the whole document; no content where it can't be opened or signed (encrypted,
+    without that page, with a field of that name)."""
+    def one(content) -> bytes | None:
+        try:
+            return signing.sign_document(bytes(content), key, certificate, time, field, page, **texts)
+        except (ValueError, TypeError, KeyError, IndexError, RecursionError):
+            return None
+
+    @F.pandas_udf("binary")
+    def make(content: pd.Series) -> pd.Series:
+        return content.map(one)
+
+    return docs.select("doc_id", make("content").alias("content"))
