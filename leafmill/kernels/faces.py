@@ -5,29 +5,31 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-from . import truetype
-from .pdf import Document, Stream, font_encoding
+from . import cff, encodings, truetype
+from .pdf import Document, Name, Stream, font_encoding
 
 #: The advance of codes without a width, in thousandths of an em.
 DEFAULT = 500.0
 
 
 class Face:
-    """A font dictionary with its embedded TrueType program, if it has one that can be read."""
+    """A font dictionary with its embedded TrueType or compact program, if it has one that can be read."""
 
     def __init__(self, doc: Document, font: dict):
         self.wide = doc.get(font.get("Subtype")) == "Type0"
         below = doc.get(font.get("DescendantFonts")) or [] if self.wide else []
         holder = (doc.get(below[0]) if below else font) or {}
         about = doc.get(holder.get("FontDescriptor")) or {}
-        program = doc.get(about.get("FontFile2"))
-        self.program = None
-        if isinstance(program, Stream):
-            try:
-                self.program = truetype.parse(doc.stream_bytes(program))
-            except (struct.error, KeyError, IndexError, ValueError):
-                self.program = None
+        self.program: truetype.Font | cff.Font | None = None
+        for entry, parse in (("FontFile2", truetype.parse), ("FontFile3", cff.parse)):
+            program = doc.get(about.get(entry))
+            if isinstance(program, Stream):
+                try:
+                    self.program = parse(doc.stream_bytes(program))
+                except (struct.error, KeyError, IndexError, ValueError):
+                    self.program = None
         self.encoding = None if self.wide else font_encoding(doc, font)
+        self.named = {} if self.wide else _differences(doc, font)
         self.map = b""
         if self.wide:
             self.widths, self.default = _wide(doc, holder), float(doc.get(holder.get("DW")) or 1000)
@@ -41,8 +43,13 @@ class Face:
 
     def glyph(self, code: int) -> int:
         if self.wide:
+            if isinstance(self.program, cff.Font) and self.program.cids is not None:
+                return self.program.cids.get(code, 0)
             return int.from_bytes(self.map[2 * code : 2 * code + 2], "big") if self.map else code
         font, text = self.program, (self.encoding or {}).get(code, "")
+        if isinstance(font, cff.Font):
+            found = font.names.get(self.named.get(code) or encodings.glyph_of().get(text, ""))
+            return (font.codes.get(code) if found is None else found) or 0
         named = font.cmap.get(ord(text)) if len(text) == 1 else None
         own = font.cmap.get(0xF000 + code) or font.codes.get(code)
         return (named or own if self.encoding else own or font.cmap.get(code)) or 0
@@ -52,7 +59,10 @@ class Face:
         if code in self.widths:
             return self.widths[code] / 1000
         if self.default is None and self.program:
-            wide, g = self.program.widths, self.glyph(code)
+            g = self.glyph(code)
+            if isinstance(self.program, cff.Font):
+                return self.program.glyph(g)[0] / self.program.units if g < len(self.program.charstrings) else DEFAULT / 1000
+            wide = self.program.widths
             return wide[g] / self.program.units if g < len(wide) else DEFAULT / 1000
         return (DEFAULT if self.default is None else self.default) / 1000
 
@@ -61,11 +71,28 @@ class Face:
 
     def rings(self, code: int) -> list[list[tuple[float, float]]]:
         """Closed outlines of a code's glyph, in ems."""
-        unit = self.program.units
-        rings = map(truetype.flatten, self.program.outlines[self.glyph(code)])
+        unit, g = self.program.units, self.glyph(code)
+        if isinstance(self.program, cff.Font):
+            rings = self.program.glyph(g)[1] if g < len(self.program.charstrings) else []
+        else:
+            rings = map(truetype.flatten, self.program.outlines[g])
         return [[(x / unit, y / unit) for x, y in ring] for ring in rings if ring]
 
 
+def _differences(doc: Document, font: dict) -> dict[int, str]:
+    """Glyph names by code that the font's encoding states itself."""
+    enc = doc.get(font.get("Encoding"))
+    out: dict[int, str] = {}
+    code = 0
+    for x in doc.get(enc.get("Differences")) or [] if isinstance(enc, dict) else []:
+        if isinstance(x, Name):
+            out[code] = str(x)
+            code += 1
+        elif isinstance(x, int):
+            code = x
+    return out
+
+
 def _wide(doc: Document, holder: dict) -> dict[int, float]:
     """Widths of the form ``first [w ...]`` and ``first last w``."""
     out: dict[int, float] = {}
