@@ -12,6 +12,7 @@ import numpy as np
 
 from .faces import DEFAULT, Face
 from .pdf import Document, Name, Stream, box_of, operations, rotation_of, text_string
+from .shading import shading
 
 SAMPLES = 4
 _ID = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
@@ -78,8 +79,8 @@ class Painter:
         self.pixels = np.ones((height, width, 3))
         self.faces: dict[int, tuple[dict, Face | None]] = {}
 
-    def fill(self, polygons, colour, even_odd: bool, clip) -> None:
-        """Only the pixels about the polygons are touched."""
+    def fill(self, polygons, colour, even_odd: bool, clip, alpha: float = 1.0) -> None:
+        """Only the pixels about the polygons are touched. A colour is fixed, or a function of the pixels' places."""
         points = np.array([p for poly in polygons for p in poly])
         if not len(points) or not np.isfinite(points).all():
             return
@@ -89,9 +90,28 @@ class Painter:
         if x0 >= x1 or y0 >= y1:
             return
         cover = coverage(x1 - x0, y1 - y0, [[(x - x0, y - y0) for x, y in poly] for poly in polygons], even_odd)
-        cover = (cover if clip is None else cover * clip[y0:y1, x0:x1])[:, :, None]
+        cover = (cover if clip is None else cover * clip[y0:y1, x0:x1])[:, :, None] * alpha
+        if callable(colour):
+            colour, there = colour(*(np.mgrid[y0:y1, x0:x1][::-1] + 0.5))
+            cover = cover * there[:, :, None]
         self.pixels[y0:y1, x0:x1] = self.pixels[y0:y1, x0:x1] * (1 - cover) + np.array(colour) * cover
 
+    def shaded(self, head, m: tuple):
+        """A shading as a colour; ``m`` leads from its plane to pixels."""
+        paint, det = shading(self.doc, head), m[0] * m[3] - m[1] * m[2]
+
+        def colour(xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            dx, dy = xs - m[4], ys - m[5]
+            return paint((m[3] * dx - m[2] * dy) / det, (m[0] * dy - m[1] * dx) / det)
+
+        return colour
+
+    def pattern(self, resources: dict, name: str, base: tuple):
+        found = self.doc.get((self.doc.get(resources.get("Pattern")) or {}).get(name)) or {}
+        if not isinstance(found, dict) or self.doc.get(found.get("PatternType")) != 2:
+            raise ValueError("this pattern is not painted")
+        return self.shaded(found["Shading"], times(tuple(float(self.doc.get(v)) for v in self.doc.get(found.get("Matrix")) or _ID), base))
+
     def face(self, resources: dict, name: str) -> Face | None:
         font = self.doc.get((self.doc.get(resources.get("Font")) or {}).get(name))
         if not isinstance(font, dict):
@@ -103,20 +123,29 @@ class Painter:
                 self.faces[id(font)] = font, None
         return self.faces[id(font)][1]
 
-    def image(self, s: Stream, ctm: tuple, clip, colour: tuple = (0.0, 0.0, 0.0)) -> None:
+    def samples(self, s: Stream) -> np.ndarray | None:
+        """(height, width, parts) from 0 to 1."""
         head = s.header
         w, h, space = self.doc.get(head.get("Width")), self.doc.get(head.get("Height")), self.doc.get(head.get("ColorSpace"))
         stencil = self.doc.get(head.get("ImageMask")) is True
         parts = 1 if stencil else {"DeviceGray": 1, "DeviceRGB": 3, "DeviceCMYK": 4}.get(space if isinstance(space, Name) else "", 0)
         raw, bits = self.doc.stream_bytes(s), 1 if stencil else self.doc.get(head.get("BitsPerComponent"))
         if not parts or bits not in (1, 2, 4, 8) or len(raw) < (row := (w * parts * bits + 7) // 8) * h:
-            return
+            return None
         px = np.unpackbits(np.frombuffer(raw[: row * h], dtype=np.uint8).reshape(h, row), axis=1)[:, : w * parts * bits]
         px = (px.reshape(h, w, parts, bits) @ (1 << np.arange(bits)[::-1])) / (2**bits - 1)
         ends = [float(x) for x in self.doc.get(head.get("Decode")) or ()]
         if len(ends) == 2 * parts:
             px = np.array(ends[::2]) + px * np.diff(np.array(ends).reshape(-1, 2), axis=1)[:, 0]
+        return px
+
+    def image(self, s: Stream, ctm: tuple, clip, colour=(0.0, 0.0, 0.0), alpha: float = 1.0) -> None:
+        px, mask = self.samples(s), self.doc.get(s.header.get("SMask"))
+        if px is None:
+            return
+        stencil, parts = self.doc.get(s.header.get("ImageMask")) is True, px.shape[2]
         px = np.repeat(px, 3, axis=2) if parts == 1 else (1 - px[:, :, :3]) * (1 - px[:, :, 3:]) if parts == 4 else px
+        soft = self.samples(mask) if isinstance(mask, Stream) else None
         det = ctm[0] * ctm[3] - ctm[1] * ctm[2]
         if abs(det) < 1e-12:
             return
@@ -125,14 +154,17 @@ class Painter:
         u, v = (ctm[3] * dx - ctm[2] * dy) / det, (ctm[0] * dy - ctm[1] * dx) / det
         cover = coverage(self.width, self.height, [[at(ctm, *c) for c in ((0, 0), (1, 0), (1, 1), (0, 1))]])
         cover = (cover if clip is None else cover * clip)[:, :, None]
-        shown = px[np.clip((1 - v) * h, 0, h - 1).astype(int), np.clip(u * w, 0, w - 1).astype(int)]
+        near = lambda a: a[np.clip((1 - v) * a.shape[0], 0, a.shape[0] - 1).astype(int), np.clip(u * a.shape[1], 0, a.shape[1] - 1).astype(int)]
+        shown, cover = near(px), cover * alpha
+        if soft is not None:
+            cover = cover * near(soft)[:, :, :1]
         if stencil:
-            cover, shown = cover * (1 - shown[:, :, :1]), np.array(colour)
+            cover, shown = cover * (1 - shown[:, :, :1]), np.array(colour(xs, ys)[0] if callable(colour) else colour)
         self.pixels = self.pixels * (1 - cover) + shown * cover
 
     def run(self, content: bytes, resources: dict, ctm: tuple, depth: int = 0) -> None:
         state = {"ctm": ctm, "fill": (0.0, 0.0, 0.0), "stroke": (0.0, 0.0, 0.0), "width": 1.0, "clip": None}
-        state |= {"face": None, "size": 0.0, "between": 0.0, "words": 0.0, "scale": 1.0, "rise": 0.0, "mode": 0}
+        state |= {"face": None, "size": 0.0, "between": 0.0, "words": 0.0, "scale": 1.0, "rise": 0.0, "mode": 0, "see": (1.0, 1.0)}
         stack: list[dict] = []
         paths: list[tuple[list, bool]] = []
         pending = None
@@ -152,13 +184,13 @@ class Painter:
 
         def paint(fill: bool, stroke: bool, even_odd: bool = False):
             if fill and paths:
-                self.fill(polygons(), state["fill"], even_odd, state["clip"])
+                self.fill(polygons(), state["fill"], even_odd, state["clip"], state["see"][0])
             if stroke and paths:
                 m = state["ctm"]
                 half = max(0.5, state["width"] * abs(m[0] * m[3] - m[1] * m[2]) ** 0.5 / 2)
                 for pts, closed in paths:
                     for quad in outline([at(m, *p) for p in pts], closed, half):
-                        self.fill([quad], state["stroke"], False, state["clip"])
+                        self.fill([quad], state["stroke"], False, state["clip"], state["see"][1])
             done()
 
         def done():
@@ -189,12 +221,12 @@ class Painter:
                 else:
                     rings = [[at(m, *c) for c in ((0, 0), (sum(spaced), 0), (sum(spaced), size * 0.7), (0, size * 0.7))]]
                 if state["mode"] in (0, 2, 4, 6):
-                    self.fill(rings, state["fill"], False, state["clip"])
+                    self.fill(rings, state["fill"], False, state["clip"], state["see"][0])
                 if state["mode"] in (1, 2, 5, 6):
                     half = max(0.5, state["width"] * abs(m[0] * m[3] - m[1] * m[2]) ** 0.5 / 2)
                     for ring in rings:
                         for quad in outline(ring, True, half):
-                            self.fill([quad], state["stroke"], False, state["clip"])
+                            self.fill([quad], state["stroke"], False, state["clip"], state["see"][1])
             tm = times((1, 0, 0, 1, sum(spaced) * scale, 0), tm)
 
         for op, args in operations(content):
@@ -211,6 +243,16 @@ class Painter:
                     state["fill"] = colour_of(args)
                 elif op in ("G", "RG", "K", "SC", "SCN") and all(isinstance(x, int | float) for x in args):
                     state["stroke"] = colour_of(args)
+                elif op in ("scn", "SCN") and isinstance(args[-1], Name):
+                    state["fill" if op == "scn" else "stroke"] = self.pattern(resources, str(args[-1]), ctm)
+                elif op == "sh":
+                    head = (self.doc.get(resources.get("Shading")) or {})[str(args[0])]
+                    whole = [[(0, 0), (self.width, 0), (self.width, self.height), (0, self.height)]]
+                    self.fill(whole, self.shaded(head, state["ctm"]), False, state["clip"], state["see"][0])
+                elif op == "gs":
+                    given = self.doc.get((self.doc.get(resources.get("ExtGState")) or {})[str(args[0])])
+                    state["see"] = tuple(float(self.doc.get(given.get(k, old))) for k, old in zip(("ca", "CA"), state["see"], strict=True))
+                    state["width"] = float(self.doc.get(given.get("LW", state["width"])))
                 elif op == "re":
                     x, y, w, h = map(float, args)
                     paths.append(([(x, y), (x + w, y), (x + w, y + h), (x, y + h)], True))
@@ -274,11 +316,11 @@ class Painter:
                     found = self.doc.get(resources.get("XObject")) or {}
                     s = self.doc.get(found.get(str(args[0])))
                     if isinstance(s, Stream) and s.header.get("Subtype") == "Image":
-                        self.image(s, state["ctm"], state["clip"], state["fill"])
+                        self.image(s, state["ctm"], state["clip"], state["fill"], state["see"][0])
                     elif isinstance(s, Stream) and s.header.get("Subtype") == "Form":
                         m = tuple(map(float, self.doc.get(s.header.get("Matrix")) or _ID))
                         self.run(self.doc.stream_bytes(s), self.doc.get(s.header.get("Resources")) or resources, times(m, state["ctm"]), depth + 1)
-            except (IndexError, TypeError, ValueError, KeyError):
+            except (AttributeError, IndexError, TypeError, ValueError, KeyError):
                 continue
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import bignum, metrics
 from leafmill.functions import text as strings
 from leafmill.kernels import signing
-from leafmill.sources import documents, edits, writers
+from leafmill.sources import devices, documents, edits, writers
 
 from ._tables import table
 from .catalog import query
@@ -180,6 +180,15 @@ def pdf_count_images(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count("*").alias("n_images"), F.sum(F.col("width") * F.col("height")).alias("pixels"))
 
 
+@query("SELECT conv_id AS doc_id, CAST(turn + 1 AS INT) AS pagenum, 306 AS width, 396 AS height, CAST(CASE WHEN role = 'assistant' THEN 150 ELSE 0 END AS BIGINT) AS orange FROM conversations")
+def pdf_painted_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every page as a picture; the orange pixels are those of the image put on it."""
+    made = edits.apply(_documents(spark, d), _pictures(spark, d))
+    shown, orange = F.hex("image"), "FF8000FF"
+    count = (F.length(shown) - F.length(F.replace(shown, F.lit(orange), F.lit("")))) / len(orange)
+    return devices.pages(made, "rgba", 36.0).select("doc_id", "pagenum", "width", "height", count.cast("long").alias("orange"))
+
+
 @query("SELECT conv_id AS doc_id, CAST(turn + 1 AS INT) AS pagenum FROM conversations WHERE role = 'assistant' AND turn <> 1")
 def pdf_delete_images(spark: SparkSession, d: str) -> DataFrame:
     gone = _steps(spark, d, "delete_images", 1, "turn = 1", page=_page())

@@ -97,6 +97,32 @@ def test_annotations_and_stencils():
     assert (got[:, :10] == 0).all() and (got[:, 10:] == 255).all()
 
 
+def test_shadings_and_transparency():
+    name, ref = pdf.Name, pdf.Ref
+    ramp = {"FunctionType": 2, "Domain": [0, 1], "C0": [0.0], "C1": [1.0], "N": 1}
+    axial = {"ShadingType": 2, "ColorSpace": name("DeviceGray"), "Coords": [0, 0, 20, 0], "Function": ramp}
+    steps = {"FunctionType": 3, "Domain": [0, 1], "Bounds": [0.5], "Encode": [0, 0, 1, 1], "Functions": [ramp, ramp]}
+    radial = {"ShadingType": 3, "ColorSpace": name("DeviceGray"), "Coords": [10, 5, 0, 10, 5, 4], "Function": ramp}
+    held = {"Shading": {"A": axial, "R": radial, "S": axial | {"Function": steps}, "T": axial | {"Function": ref(6, 0)}, "B": axial | {"Coords": [5, 0, 10, 0], "Extend": [True, False]}}, "Pattern": {"P": {"PatternType": 2, "Shading": axial}}, "ExtGState": {"G": {"ca": 0.5}}}
+    parts = {5: {}, 6: pdf.Stream({"FunctionType": 0, "Domain": [0, 1], "Range": [0, 1], "Size": [2], "BitsPerSample": 8}, bytes([0, 255]))}
+    draw = lambda ops: pixels(with_parts(ops, held, parts))
+    level = np.floor((np.arange(20) + 0.5) / 20 * 255 + 0.5)
+    assert (draw(b"/A sh") == level).all() and (draw(b"/T sh") == level).all()
+    assert (draw(b"/S sh")[:, :10] == 0).all() and (draw(b"/S sh")[:, 10:] == 255).all()
+    assert (draw(b"q 0 0 4 10 re W n /A sh Q")[:, 4:] == 255).all()
+    got = draw(b"/Pattern cs /P scn 0 0 20 5 re f")
+    assert (got[5:] == level).all() and (got[:5] == 255).all()
+    got = draw(b"/B sh")
+    assert (got[:, :5] == 0).all() and (got[:, 10:] == 255).all() and 0 < got[0, 7] < 255
+    got = draw(b"/R sh")
+    assert got[5, 10] < 60 < got[5, 12] < got[5, 13] and got[0, 0] == 255 and got[5, 15] == 255
+    assert (draw(b"/G gs 0 g 0 0 20 10 re f") == 128).all() and (draw(b"q /G gs Q 0 g 0 0 20 10 re f") == 0).all()
+    mask = pdf.Stream({"Width": 2, "Height": 1, "ColorSpace": name("DeviceGray"), "BitsPerComponent": 8}, bytes([0, 255]))
+    image = pdf.Stream({"Subtype": name("Image"), "Width": 1, "Height": 1, "ColorSpace": name("DeviceGray"), "BitsPerComponent": 8, "SMask": ref(6, 0)}, bytes([0]))
+    got = pixels(with_parts(b"20 0 0 10 0 0 cm /I Do", {"XObject": {"I": ref(5, 0)}}, {5: image, 6: mask}))
+    assert (got[:, :10] == 255).all() and (got[:, 10:] == 0).all()
+
+
 def test_jpeg():
     from leafmill.kernels import jpeg
 
