@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 
+from . import jpeg
 from .faces import DEFAULT, Face
 from .pdf import Document, Name, Stream, box_of, operations, rotation_of, text_string
 from .shading import shading
@@ -123,17 +124,46 @@ class Painter:
                 self.faces[id(font)] = font, None
         return self.faces[id(font)][1]
 
+    def space(self, v) -> tuple[int, np.ndarray | None]:
+        """The parts of a colour space, 0 for one that isn't known, and its table of colours. Calibrated colours are taken
+        as those of the device."""
+        v = self.doc.get(v)
+        if isinstance(v, Name):
+            return {"DeviceGray": 1, "DeviceRGB": 3, "DeviceCMYK": 4}.get(v, 0), None
+        if not isinstance(v, list) or not v:
+            return 0, None
+        kind = self.doc.get(v[0])
+        if kind == "Indexed" and len(v) == 4:
+            parts, inner = self.space(v[1])
+            held = self.doc.get(v[3])
+            held = self.doc.stream_bytes(held) if isinstance(held, Stream) else bytes(held)
+            rows = len(held) // parts if parts and inner is None else 0
+            return (parts, np.frombuffer(held[: rows * parts], dtype=np.uint8).reshape(rows, parts) / 255) if rows else (0, None)
+        if kind == "ICCBased" and len(v) == 2:
+            return int(self.doc.get(self.doc.get(v[1]).header["N"])), None
+        return {"CalGray": 1, "CalRGB": 3}.get(kind, self.space(kind)[0] if isinstance(kind, Name) else 0), None
+
     def samples(self, s: Stream) -> np.ndarray | None:
         """(height, width, parts) from 0 to 1."""
         head = s.header
-        w, h, space = self.doc.get(head.get("Width")), self.doc.get(head.get("Height")), self.doc.get(head.get("ColorSpace"))
+        names = self.doc.get(head.get("Filter"))
+        if (names[-1:] if isinstance(names, list) else [names]) == ["DCTDecode"]:
+            if isinstance(names, list) and len(names) > 1:
+                return None
+            w, h, rgba = jpeg.decode(s.body)
+            return np.frombuffer(rgba, dtype=np.uint8).reshape(h, w, 4)[:, :, :3] / 255
+        w, h = self.doc.get(head.get("Width")), self.doc.get(head.get("Height"))
         stencil = self.doc.get(head.get("ImageMask")) is True
-        parts = 1 if stencil else {"DeviceGray": 1, "DeviceRGB": 3, "DeviceCMYK": 4}.get(space if isinstance(space, Name) else "", 0)
+        parts, table = (1, None) if stencil else self.space(head.get("ColorSpace"))
+        count = 1 if table is not None else parts
         raw, bits = self.doc.stream_bytes(s), 1 if stencil else self.doc.get(head.get("BitsPerComponent"))
-        if not parts or bits not in (1, 2, 4, 8) or len(raw) < (row := (w * parts * bits + 7) // 8) * h:
+        if not parts or bits not in (1, 2, 4, 8) or len(raw) < (row := (w * count * bits + 7) // 8) * h:
             return None
-        px = np.unpackbits(np.frombuffer(raw[: row * h], dtype=np.uint8).reshape(h, row), axis=1)[:, : w * parts * bits]
-        px = (px.reshape(h, w, parts, bits) @ (1 << np.arange(bits)[::-1])) / (2**bits - 1)
+        px = np.unpackbits(np.frombuffer(raw[: row * h], dtype=np.uint8).reshape(h, row), axis=1)[:, : w * count * bits]
+        px = px.reshape(h, w, count, bits) @ (1 << np.arange(bits)[::-1])
+        if table is not None:
+            return table[np.minimum(px[:, :, 0], len(table) - 1)]
+        px = px / (2**bits - 1)
         ends = [float(x) for x in self.doc.get(head.get("Decode")) or ()]
         if len(ends) == 2 * parts:
             px = np.array(ends[::2]) + px * np.diff(np.array(ends).reshape(-1, 2), axis=1)[:, 0]

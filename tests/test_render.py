@@ -123,6 +123,25 @@ def test_shadings_and_transparency():
     assert (got[:, :10] == 255).all() and (got[:, 10:] == 0).all()
 
 
+def test_colour_spaces_of_images():
+    from leafmill.kernels import jpeg
+
+    name, ref = pdf.Name, pdf.Ref
+    show = lambda head, body, **parts: pixels(with_parts(b"20 0 0 10 0 0 cm /I Do", {"XObject": {"I": ref(5, 0)}}, {5: pdf.Stream({"Subtype": name("Image"), "Width": 2, "Height": 1, "BitsPerComponent": 8} | head, body), 6: pdf.Stream({"N": 3}, b"")}))
+    indexed = [name("Indexed"), name("DeviceRGB"), 1, bytes([10, 0, 0, 200, 0, 0])]
+    got = show({"ColorSpace": indexed, "BitsPerComponent": 1}, bytes([0b01000000]))
+    assert (got[:, :10] == 10).all() and (got[:, 10:] == 200).all()
+    # a number beyond the table is its last one
+    assert (show({"ColorSpace": indexed}, bytes([9, 9])) == 200).all()
+    got = show({"ColorSpace": [name("ICCBased"), ref(6, 0)]}, bytes([1, 2, 3, 4, 5, 6]))
+    assert (got[:, :10] == 1).all() and (got[:, 10:] == 4).all()
+    assert (show({"ColorSpace": [name("CalGray"), {}]}, bytes([7, 8]))[:, :10] == 7).all()
+    for unknown in (name("Odd"), [name("Lab"), {}], [name("Indexed"), name("Odd"), 1, b"a"], [name("ICCBased"), 3], [], None):
+        assert (show({"ColorSpace": unknown}, bytes(6)) == 255).all()
+    photo = jpeg.encode(16, 16, bytes([60, 60, 60, 255]) * 256, 95)
+    assert abs(show({"Width": 16, "Height": 16, "ColorSpace": name("DeviceRGB"), "Filter": name("DCTDecode")}, photo).astype(int) - 60).max() < 4
+
+
 def test_jpeg():
     from leafmill.kernels import jpeg
 
