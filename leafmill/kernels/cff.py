@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import struct
 from dataclasses import dataclass, field
-from functools import cache
 
 from . import encodings
 
@@ -25,7 +24,7 @@ _ACCENTED = (
 STANDARD = 391
 
 
-@cache
+@encodings.remember
 def standard_strings() -> list[str]:
     """The names of the first standard strings."""
     first = [n for _, n in sorted((c, encodings.byte_to_glyph("StandardEncoding", c)) for c in encodings.table("StandardEncoding")) if n]

@@ -7,7 +7,7 @@ signs and irregular letters are listed.
 from __future__ import annotations
 
 import unicodedata
-from functools import cache
+from collections.abc import Callable
 
 # Glyph names of signs and irregular letters, and their characters.
 _ASCII_NAMES = (
@@ -45,7 +45,20 @@ _DOCUMENT = {
 ENCODINGS = ("StandardEncoding", "WinAnsiEncoding", "MacRomanEncoding", "PDFDocEncoding")
 
 
-@cache
+def remember(f: Callable) -> Callable:
+    """Results by arguments. Unlike the library's caches, functions wrapped so travel to executors by value."""
+    kept: dict = {}
+
+    def run(*args):
+        if args not in kept:
+            kept[args] = f(*args)
+        return kept[args]
+
+    run.__name__, run.__doc__ = f.__name__, f.__doc__
+    return run
+
+
+@remember
 def names() -> dict[str, str]:
     """Characters by glyph name."""
     out = {n: chr(32 + k) for k, n in enumerate(_ASCII_NAMES)}
@@ -66,13 +79,13 @@ def names() -> dict[str, str]:
     return out | _SIGNS
 
 
-@cache
+@remember
 def glyph_of() -> dict[str, str]:
     """The glyph name of each character that has one."""
     return {c: n for n, c in reversed(names().items())}
 
 
-@cache
+@remember
 def table(encoding: str) -> dict[int, str]:
     """Characters by code of an encoding; codes without a glyph have none."""
     if encoding == "WinAnsiEncoding":
