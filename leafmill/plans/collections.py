@@ -135,8 +135,11 @@ def visible_count(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT vec_id, label, len(embedding) AS n, CAST(floor(embedding[1] * 1000) AS BIGINT) AS first_value FROM embeddings")
 def vector_table(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors by their first value in thousandths, multiplied in the vectors' own type: as doubles, the float 0.029
+    gives 28.99. An empty vector has no first value."""
     e = table(spark, d, "embeddings")
-    return e.select("vec_id", "label", F.size("embedding").cast("long").alias("n"), F.floor(F.col("embedding")[0] * 1000).cast("long").alias("first_value"))
+    thousand = F.lit(1000).cast(e.schema["embedding"].dataType.elementType)
+    return e.select("vec_id", "label", F.size("embedding").cast("long").alias("n"), F.floor(F.get("embedding", F.lit(0)) * thousand).cast("long").alias("first_value"))
 
 
 @query("SELECT conv_id, array_to_string(list(DISTINCT role ORDER BY role), ',') AS roles, array_to_string(list(turn ORDER BY turn) FILTER (turn <> 1), ',') AS kept FROM conversations GROUP BY conv_id")
