@@ -9,8 +9,9 @@ For the others, x and y are within two bits if and only if flipping at most one
 word z, so each goes to its z's (only bits outside the mask need flipping) and is linked to the smallest there.
 A z has at most 65 different fingerprints, so no group grows with the data, and no pairs are made.
 
-``near_duplicates`` takes texts that share a band of MinHash values of their five-word shingles as candidates, and
-decides by the exact resemblance of these shingles.
+``near_duplicates`` takes texts whose fingerprints are linked so as candidates, and decides by the exact resemblance of
+their five-word shingles. Two bits are far less than resemblance 0.8 allows, so texts that share a band of MinHash
+values of these shingles are candidates as well; no pair that fingerprints don't link is lost for that.
 
 Nulls and empty texts have fingerprint zero and form one group like any equal texts. Rows that repeat an id with
 other texts are deduplicated by their own text; null ids are linked but never name a group if another id can.
@@ -139,7 +140,7 @@ def components(docs: DataFrame, ngram: int = 3) -> DataFrame:
     return fps.join(names, F.col("fp") == F.col("named")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near duplicates by shingle resemblance, with banded MinHash for candidates.
+# Near duplicates: candidates by fingerprints, and by banded MinHash for pairs beyond two bits; shingle resemblance decides.
 
 #: Bands a text and minima a band, words in a shingle, the least resemblance, and what the estimate must reach
 #: before texts are compared. Texts with resemblance 0.8 share no band in (1 - 0.8^5)^32 = 3 of a million cases, and
@@ -290,13 +291,33 @@ def _prefixes(pool: DataFrame, ngram: int, similarity: float) -> DataFrame:
     return materialize(pool.mapInArrow(run, "key long, c long, n long, at long"), "prefixes")
 
 
+def _linked_texts(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of texts (c) and their fingerprints (fp): the texts of each component of linked fingerprints (key, c); and the
+    text that each is first compared with (c, a): the smallest of its own fingerprint, or else that of the smallest
+    fingerprint within two bits. Texts whose fingerprints have no company are in neither."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min("c").alias("lead"), F.max("c").alias("last")), "distinct")
+    near = materialize(links(distinct.select("fp")), "near")
+    roots = connected(near)
+    company = distinct.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").where("root is not null or lead < last")
+    company = materialize(company.select(F.col("fp").alias("cfp"), "lead", F.coalesce("root", "fp").alias("key")), "company")
+    linked = materialize(prints.join(company.hint("merge"), F.col("fp") == F.col("cfp")).select("key", "c", "lead"), "linked")
+    least = near.groupBy("b").agg(F.min("a").alias("a"))
+    least = least.join(company.select("cfp", F.col("lead").alias("lead_a")).hint("merge"), F.col("a") == F.col("cfp")).select("b", "lead_a")
+    least = least.join(company.select("cfp", F.col("lead").alias("c")).hint("merge"), F.col("b") == F.col("cfp")).select("c", F.col("lead_a").alias("a"))
+    first = materialize(linked.select("c", F.col("lead").alias("a")).unionByName(least).where("c != a").distinct(), "first")
+    members = materialize(linked.select("key", "c").distinct(), "linked")
+    release(distinct, near, roots, company, linked)
+    return members, first
+
+
 def text_groups(docs: DataFrame, ngram: int = NGRAM, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(doc_id, c, t) of every row, c the content key of its text and t the hash of the text as it is; and
     (c, root, group_id): texts that resemble each other, directly or over others, share a root and the smallest id of
     them all.
 
-    Texts with equal shingles are one from the start. At first every text is compared with one other: the smallest that
-    it shares a band with, which settles most groups. The texts of bands that still hold several groups go on: their
+    Texts with equal shingles are one from the start. At first every text is compared with one other: one whose fingerprint
+    is within two bits, or where there is none, the smallest that it shares a band with. This settles most groups. The
+    texts of components of fingerprints and of bands that still hold several groups go on: their
     rare shingles make buckets, so that texts meet by what is particular to them and not by what all copies share, and
     the places of a shared shingle bound the resemblance before anything is compared. In every round, each bucket
     names leads, four times as many as in the last one and first those that have company, and every member of another
@@ -308,9 +329,15 @@ def text_groups(docs: DataFrame, ngram: int = NGRAM, similarity: float = SIMILAR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), ngram) for t in batch.column(2)]
-            found = [sketch(x) for x in sets]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(map(content_key, sets), pa.int64()), pa.array([b for b, _ in found], pa.list_(pa.int64())), pa.array([m for _, m in found], pa.binary())], names=["doc_id", "t", "c", "bands", "sig"])
+            keys, prints, found = [], [], []
+            for t in batch.column(2):
+                text = t.as_py()
+                shingles = shingle_set(text, ngram)
+                keys.append(content_key(shingles))
+                prints.append(fingerprint(text))
+                found.append(sketch(shingles))
+            made = [pa.array(keys, pa.int64()), pa.array(prints, pa.int64()), pa.array([b for b, _ in found], pa.list_(pa.int64())), pa.array([m for _, m in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["doc_id", "t", "c", "fp", "bands", "sig"])
 
     least = similarity - (SIMILARITY - ESTIMATE)
 
@@ -320,13 +347,17 @@ def text_groups(docs: DataFrame, ngram: int = NGRAM, similarity: float = SIMILAR
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(same, pa.bool_())], names=["a", "b", "same"])
 
     rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("t"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    all_docs = materialize(rows.mapInArrow(run, "doc_id long, t long, c long, bands array<long>, sig binary"), "sketches")
+    all_docs = materialize(rows.mapInArrow(run, "doc_id long, t long, c long, fp long, bands array<long>, sig binary"), "sketches")
     texts = materialize(all_docs.groupBy("c").agg(F.min("doc_id").alias("first_id"), F.min("sig").alias("sig"), F.min("bands").alias("bands")), "texts")
     rows = materialize(all_docs.select("doc_id", "c", "t"), "rows")
+    prints = materialize(all_docs.select("c", "fp").distinct(), "prints")  # texts with equal shingles can differ in repeats
     release(all_docs)
+    linked, first = _linked_texts(prints)
+    release(prints)
     members = texts.select("c", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("key").alias("skey"), "lo").hint("merge")
-    members = materialize(members.join(shared, F.col("key") == F.col("skey")).select("key", "c", "lo"), "members")
+    bands = materialize(members.join(shared, F.col("key") == F.col("skey")).select("key", "c", "lo"), "bands")
+    members = bands.select("key", "c").unionByName(linked)
     signatures = texts.select(F.col("c").alias("sc"), "sig")
     decided: list[DataFrame] = []
     roots = pool = None
@@ -365,10 +396,11 @@ def text_groups(docs: DataFrame, ngram: int = NGRAM, similarity: float = SIMILAR
         return new
 
     if members.limit(1).count():
-        decide(members.groupBy("c").agg(F.min("lo").alias("a")).where("a < c").select("a", F.col("c").alias("b")))
-        new = open_buckets(members.select("key", "c"))
-        release(members)
-        members = new
+        others = bands.groupBy("c").agg(F.min("lo").alias("a")).where("a < c")
+        others = others.join(first.select(F.col("c").alias("fc")).hint("merge"), F.col("c") == F.col("fc"), "left_anti")
+        decide(first.unionByName(others).select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct())
+        members = open_buckets(members)
+        release(bands, linked, first)
         pool = _texts_of(docs, members.select(F.col("c").alias("need")).distinct(), ngram)
         release(members)
         prefixes = _prefixes(pool, ngram, similarity)
@@ -392,7 +424,7 @@ def text_groups(docs: DataFrame, ngram: int = NGRAM, similarity: float = SIMILAR
         members, wanted = new, wanted * 4
         collect_garbage(docs.sparkSession)
     release(pool)
-    release(members, *decided)
+    release(members, bands, linked, first, *decided)
     plain = texts.select("c", "first_id", F.col("c").alias("root"))
     if roots is not None:
         plain = texts.select("c", "first_id").join(roots, F.col("c") == F.col("node"), "left").select("c", "first_id", F.coalesce("root", "c").alias("root"))

@@ -343,6 +343,25 @@ def test_near_duplicates_links_nothing_below_the_resemblance(spark):
     assert [groups[2 * k] == groups[2 * k + 1] for k in range(200)] == wanted
 
 
+def test_near_duplicates_come_from_fingerprints(spark, monkeypatch):
+    """Without any bands, linked fingerprints alone lead to all near duplicates among their texts, and to nothing else."""
+    monkeypatch.setattr(simhash, "sketch", lambda shingles, f=simhash.sketch: ([], f(shingles)[1]))
+    rng = random.Random(9)
+    docs = []
+    for k in range(30):  # one word of many is another one
+        base = [f"k{k}w{i}" for i in range(400)]
+        docs += [(10 * k, " ".join(base)), (10 * k + 1, " ".join([*base[:-1], "changed"]))]
+    for k in range(6):  # the repeated head alone decides the fingerprint of these; their tails, in threes, the resemblance
+        tail = [f"t{k}x{i}" for i in range(100)]
+        docs += [(1000 + 10 * k + j, " ".join(["one", "two", "three"] * 200 + tail + [f"end{j}"])) for j in range(3)]
+    docs += [(2000 + k, " ".join(f"r{rng.randrange(10**6)}" for _ in range(100))) for k in range(20)]
+    prints = {i: simhash.fingerprint(t.encode()) % 2**64 for i, t in docs}
+    linked = brute_components(prints)
+    assert len({linked[i] for i in prints if 1000 <= i < 2000}) == 1 and sum(linked[10 * k] == linked[10 * k + 1] for k in range(30)) > 10
+    groups = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert groups == {i: min(j for j, u in docs if linked[i] == linked[j] and alike(t, u) >= 0.8) for i, t in docs}
+
+
 def test_deduplicate_keeps_unlike_texts_of_one_id(spark):
     one, two, three, four = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcd")
     rows = [(None, one), (None, two), (None, two), (1, three), (7, three), (7, four), (7, four), (None, three), (2, "")]
