@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The most bytes of rows that bound_batches() lets go to a Python worker at once.
+BATCH_BYTES = 4 << 20
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -55,6 +58,15 @@ def collect_garbage(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session's rows go to Python workers in batches of at most BATCH_BYTES (a longer row is a batch of its
+    own). Spark's own bounds are 10,000 rows and 64 MB, which the JVM, the worker and what the worker returns hold at once,
+    in every task. A lower setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, _UPPER, _UPPER.lower())
